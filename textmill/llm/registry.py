@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from textmill.llm import quality_rules, simhash
+from textmill.llm import packing, quality_rules, simhash, tokens
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op4_token_ids": tokens.query,
     "op8_quality_rules": quality_rules.query,
 }
 
