@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from textmill.llm import packing, quality_rules, simhash, tokens
+from textmill.llm import packing, quality_rules, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_token_ids": tokens.query,
+    "op7_substring_dedup": substrings.query,
     "op8_quality_rules": quality_rules.query,
+    "op10_secret_scans": secrets.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
