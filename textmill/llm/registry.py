@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.llm import packing, quality_rules, secrets, simhash, substrings, tokens
+from textmill.llm import lm_scoring, packing, quality_rules, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_ids": tokens.query,
     "op7_substring_dedup": substrings.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_secret_scans": secrets.query,
 }
 
