@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textmill.llm import lm_scoring, packing, quality_rules, secrets, simhash, substrings, tokens
+from textmill.llm import lm_scoring, packing, quality_rules, secrets, simhash, substrings, tokens, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_url_filters": url_filter.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_token_ids": tokens.query,
     "op7_substring_dedup": substrings.query,
