@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textmill.llm import lang_id, lm_scoring, packing, quality_rules, secrets, simhash, substrings, tokens, url_filter
+from textmill.llm import decontaminate, lang_id, lm_scoring, packing, quality_rules, secrets, simhash, substrings, tokens, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_url_filters": url_filter.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_token_ids": tokens.query,
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_language_id": lang_id.query,
     "op7_substring_dedup": substrings.query,
     "op8_quality_rules": quality_rules.query,
