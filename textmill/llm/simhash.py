@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 from textmill.llm.common import col, components, fresh, materialize, words_of
 
 DIRECT = 1 << 14
+SKETCH = 128
 _BLOCK = 128
+_A = np.random.default_rng(42).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+_B = np.random.default_rng(43).integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -156,13 +159,133 @@ def _label(prints: DataFrame, radius: int) -> DataFrame:
     return prints.join(materialize(named, "simhash-classes"), "fp")  # a hot fingerprint is a skewed join, which is split
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class (of repeated rows with that id, one)."""
-    f = fresh(docs, "fp")
-    rows = materialize(docs.withColumn(f, _fingerprint_udf(size)(col(text_col))), "simhash-rows")
-    label = _label(rows.select(col(id_col).alias("doc_id"), F.col(f).alias("fp")), radius)
-    kept = label.where("doc_id = component_id").select(F.col("doc_id").alias(f + "id")).distinct()
-    return rows.join(kept, rows[id_col] == kept[f + "id"], "left_semi").dropDuplicates([id_col]).select(*[col(c) for c in docs.columns])
+# --- near copies by shingle similarity ------------------------------------------------------------------------------
+
+
+def profile(text: str | None, size: int, prints: int) -> tuple[int, list[int], bytes]:
+    """Hash of the words, ``prints`` fingerprints of the set of words, and a sketch of the set of shingles.
+
+    A few changed words turn fewer bits of a fingerprint of words than of one of shingles; the sketch (``SKETCH`` minima,
+    a byte of each) then tells how similar the shingles are.
+    """
+    words = [w.lower() for w in words_of(text)]
+    whole = xxhash.xxh64(b" ".join(words), 42).intdigest()
+    whole -= (whole >> 63) << 64
+    if not words:
+        return whole, [0] * prints, bytes(SKETCH)
+    f = xxhash.xxh64_intdigest
+    kinds = set(words)
+    h = np.fromiter((f(w, 42) for w in kinds), dtype=np.uint64, count=len(kinds))
+    out = []
+    for k in range(prints):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & (1 << 64) - 1 | 1)
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        full = len(bits) // 255 * 255
+        ones = bits[full:].sum(0, dtype=np.int64)
+        if full:
+            ones += bits[:full].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(x)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    g = np.unique(shingle_hashes(words, size))
+    least = np.full(SKETCH, (1 << 64) - 1, dtype=np.uint64)
+    for lo in range(0, len(g), 2000):
+        x = g[lo : lo + 2000, None] * _A[None, :] + _B[None, :]
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    least = least * np.uint64(0xD6E8FEB86659FD93)  # minima are small numbers; mixed, any byte of them will do
+    return whole, out, (least >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _profile_udf(size: int, prints: int):
+    @F.pandas_udf("whole bigint, prints array<bigint>, sketch binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([profile(t, size, prints) for t in texts], columns=["whole", "prints", "sketch"])
+
+    return run.asNondeterministic()
+
+
+def similar_forest(prints: np.ndarray, sketches: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
+    """Index pairs that span the links: fingerprints within ``radius`` and sketches that agree in ``least`` places or more."""
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(prints))
+    while len(rest):
+        frontier, rest = rest[:1], rest[1:]
+        lo, step = 0, 1
+        while lo < len(frontier) and len(rest):
+            part = frontier[lo : lo + step]
+            lo, step = lo + step, min(2 * step, 32)
+            near = np.bitwise_count(prints[part][:, None] ^ prints[rest][None, :]) <= radius
+            i, j = np.nonzero(near)
+            same = np.concatenate([(sketches[part[i[k : k + 50_000]]] == sketches[rest[j[k : k + 50_000]]]).sum(1) for k in range(0, len(i), 50_000)]) if len(i) else i
+            i, j = i[same >= least], j[same >= least]
+            if len(j):
+                j, first = np.unique(j, return_index=True)
+                out += zip(part[i[first]].tolist(), rest[j].tolist(), strict=True)
+                frontier = np.concatenate([frontier, rest[j]])
+                rest = np.delete(rest, j)
+    return out
+
+
+def similar_links(reps: DataFrame, prints: int, radius: int, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` between ``whole`` hashes: in one of the fingerprints within ``radius``, sketches similar."""
+    # by chance a byte agrees once in 256
+    least = int(np.ceil(SKETCH * (similarity + (1 - similarity) / 256) - 1e-9))
+    edge = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+    @F.pandas_udf(edge)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for fps, wholes, sketches in batches:
+            out = []
+            for f, w, s in zip(fps, wholes, sketches, strict=True):
+                f, s = np.asarray(f, dtype=np.int64).view(np.uint64), np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1)
+                out.append([(int(w[i]), int(w[j])) for i, j in similar_forest(f, s, radius, least)])
+            yield pd.Series(out)
+
+    edges = None
+    for k in range(prints):
+        mine = reps.select("whole", F.element_at("prints", k + 1).alias("fp"))
+        masks = covering_masks(list(range(64)), radius)
+        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+        dealt = mine.select("fp", "whole", F.explode(keys).alias("k")).select("fp", "whole", "k.t", "k.key")
+        sizes = materialize(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        shared = dealt.join(sizes, ["t", "key"])
+        # a bucket beyond DIRECT is dealt again by its free bits, and once more by the sketch: near copies of one text agree
+        # in most bytes of it, so four bytes at a time, in 32 ways, leave pairs of similarity 0.8 together in some way
+        small = shared.where(F.col("n") <= DIRECT).select("t", "key", F.lit(-1).alias("u"), F.lit(0).cast("long").alias("sub"), "fp", "whole")
+        members = small
+        if not sizes.where(F.col("n") > DIRECT).isEmpty():
+            large = shared.where(F.col("n") > DIRECT).join(reps.select("whole", "sketch"), "whole")
+            ways = F.array(*[F.struct(F.lit(u).alias("u"), F.xxhash64(F.substring("sketch", 4 * u + 1, 4)).alias("sub")) for u in range(SKETCH // 4)])
+            members = small.unionByName(large.select("t", "key", "fp", "whole", F.explode(ways).alias("s")).select("t", "key", "s.u", "s.sub", "fp", "whole"))
+        full = members.join(reps.select("whole", "sketch"), "whole")
+        grouped = full.groupBy("t", "key", "u", "sub").agg(F.collect_list(F.struct("fp", "whole", "sketch")).alias("l")).where(F.size("l") > 1)
+        got = grouped.select(F.explode(run.asNondeterministic()(F.col("l.fp"), F.col("l.whole"), F.col("l.sketch"))).alias("e")).select("e.a", "e.b").distinct()
+        got = materialize(got, "similar")
+        edges = got if edges is None else edges.unionByName(got)
+    return edges
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 3,
+) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that with the smallest id.
+
+    Texts with the same words are one group; others are linked if one of ``prints`` fingerprints of their words differs in
+    at most ``radius`` bits and their sets of ``size``-word shingles are similar by their sketches. Groups are closed
+    under links.
+    """
+    f = fresh(docs, "near")
+    rows = materialize(docs.withColumn(f, _profile_udf(size, prints)(col(text_col))), "near-rows")
+    flat = rows.select(col(id_col).alias("id"), F.col(f"{f}.whole").alias("whole"), F.col(f"{f}.prints").alias("prints"), F.col(f"{f}.sketch").alias("sketch"))
+    reps = flat.groupBy("whole").agg(F.min("id").alias("id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
+    reps = materialize(reps, "near-reps")
+    labels = components(similar_links(reps, prints, radius, similarity))
+    named = reps.select("whole", "id").join(labels, reps["whole"] == labels["node"], "left").select("whole", "id", F.coalesce("component", "whole").alias("component"))
+    best = named.groupBy("component").agg(F.min(F.struct("id", "whole")).alias("b"))
+    kept = materialize(best.select(F.col("b.id").alias(f + "i"), F.col("b.whole").alias(f + "w")), "near-kept")
+    rows = rows.withColumn(f + "x", F.col(f"{f}.whole")).drop(f)
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept[f + "i"]) & (rows[f + "x"] == kept[f + "w"]), "left_semi")
+    return rows.dropDuplicates([id_col, f + "x"]).select(*[col(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
