@@ -11,8 +11,8 @@ diagonal, and kind for kind; diagonals that contradict themselves are dropped, u
 An item shorter than a window counts as one window of its own length if it has ``shortest`` words or more.
 
 The document side is a stream of (id, position, hash) rows joined with the distinct hashes of the benchmark. That side is
-broadcast only if there are at most ``BROADCAST_ROWS`` of them, else Spark picks a shuffled join; words are looked at again
-for the few rows that match. A passage that many documents hold yields one row for each place and is no hot group in any
+broadcast only if there are at most ``BROADCAST_ROWS`` of them, else Spark picks a shuffled join; the same holds for the ids
+of documents with a match, whose words are looked at again. A passage that many documents hold yields one row for each place and is no hot group in any
 aggregation, since those are by document.
 
 Edge cases: null and empty texts have no words and match nothing; an empty benchmark or an empty table gives an empty
@@ -107,9 +107,12 @@ def _consistent(hits, items, docs, bench, id_col, text_col, item_col, item_text_
     pairs = hits.join(items.withColumnRenamed("size", "s").withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & (F.col("size") == F.col("s")))
     pairs = pairs.select("doc_id", "item_id", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"), "size")
     ends = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("n"), F.collect_set(F.struct("p", "size")).alias("at"))
-    touched = ends.select("doc_id").distinct()
-    texts = docs.select(col(id_col).alias("doc_id"), F.split(canonical(col(text_col)), " ").alias("canon"), words(col(text_col)).alias("own"))
-    texts = texts.join(touched, "doc_id", "left_semi")
+    ends = materialize(ends, "bench-diagonals")
+    touched = materialize(ends.select("doc_id").distinct(), "bench-touched")
+    small = touched.count() <= BROADCAST_ROWS
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t")).join(F.broadcast(touched) if small else touched, "doc_id", "left_semi")
+    # worked out after the join, so for documents with a match only
+    texts = rows.select("doc_id", F.split(canonical(F.col("t")), " ").alias("canon"), words(F.col("t")).alias("own"))
     asked = bench.select(col(item_col).alias("item_id"), words(col(item_text_col)).alias("asked"))
     both = ends.join(texts, "doc_id").join(asked, "item_id")
     spans = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["p"], a["p"] + a["size"] - 1))))
