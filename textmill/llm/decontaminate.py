@@ -47,28 +47,29 @@ def canonical(text: Column) -> Column:
     """The text with placeholders, its words in lower case without outer punctuation and joined by one space.
 
     Works on the whole string, since regular expressions over strings run compiled, and lambdas over arrays don't. A word
-    of punctuation alone stays as a dash, so that words keep their places.
+    of punctuation alone stays as a sign, so that words keep their places.
     """
     t = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    # each pattern begins with what is rare, so that most characters are passed by after one test
     # a capital after a word that doesn't end a sentence begins a name
-    t = F.regexp_replace(t, r"(?<=[^.!?:;\x20\"”»)\]|]\x20)\p{Lu}[\p{Ll}\p{M}'’-]+(?=[^\p{L}\p{N}])", "\x01p")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?:;\x20\"”»)\]|]\x20\p{Lu})[\p{Ll}\p{M}'’-]+(?=[^\p{L}\p{N}])", "\x01p")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<=\x20)[^\p{L}\p{N}%\x20\x01]+(?=[\p{L}\p{N}%\x01])|(?<=[\p{L}\p{N}%])[^\p{L}\p{N}%\x20\x01]+(?=\x20)", "")
-    t = F.regexp_replace(t, r"(?<=\x20)[-+]?\p{N}[\p{N}.,:/]*(?=\x20)", "\x01n")
-    t = F.regexp_replace(t, r"(?<=\x01n\x20)(?:" + "|".join(u.replace("/", r"\/") for u in sorted(UNITS, key=len, reverse=True)) + r")(?=\x20)", "\x01u")
-    t = F.regexp_replace(t, r"(?<=\x20)[^\p{L}\p{N}\x20\x01%]+(?=\x20)", "-")
+    t = F.regexp_replace(t, r"\x20[^\p{L}\p{N}%\x20\x01]+(?=\x20)", " \x02")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}%\x20\x01\x02]+(?:(?=\x20)|(?<=\x20[^\p{L}\p{N}%\x20\x01\x02]{1,20}))", "")
+    t = F.regexp_replace(t, r"\x20\p{N}[\p{N}.,:/]*(?=\x20)", " \x01n")
+    t = F.regexp_replace(t, r"\x01n\x20(?:" + "|".join(u.replace("/", r"\/") for u in sorted(UNITS, key=len, reverse=True)) + r")(?=\x20)", "\x01n \x01u")
     return F.trim(t)
 
 
 def grams(canon: Column, window: int) -> Column:
     """Hashes of the windows of a canonical text, in order; of the whole, if it is shorter."""
-    bound = F.array(F.split(canon, " "))  # bound to a variable of its own, else the split is made anew for each window
+    bound = F.array(F.transform(F.split(canon, " "), lambda w: F.xxhash64(w)))  # bound to a variable of its own, else the split is made anew for each window
 
     def many(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(window)))))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
 
-    return F.when(canon == "", F.array().cast("array<bigint>")).otherwise(F.element_at(F.transform(bound, many), 1))
+    return F.element_at(F.transform(bound, many), 1)  # the text is looked at once; an empty one gives a hash that no window has
 
 
 def _items(bench: DataFrame, item_col: str, text_col: str, window: int, literals: int, shortest: int) -> DataFrame:
@@ -78,8 +79,8 @@ def _items(bench: DataFrame, item_col: str, text_col: str, window: int, literals
     rows = rows.where(F.col("n") >= shortest).withColumn("size", F.least("n", F.lit(window)))
     rows = rows.select("item_id", "w", "size", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("q"))
     part = F.slice("w", F.col("q"), F.col("size"))
-    rows = rows.withColumn("part", part).where(F.size(F.filter("part", lambda x: ~x.startswith("\x01") & (x != "-"))) >= F.least(F.lit(literals), F.col("size") - 1))
-    return rows.select("item_id", F.col("q").cast("int").alias("q"), F.xxhash64(F.concat_ws(" ", "part")).alias("h"), "size")
+    rows = rows.withColumn("part", part).where(F.size(F.filter("part", lambda x: ~x.startswith("\x01") & (x != "\x02"))) >= F.least(F.lit(literals), F.col("size") - 1))
+    return rows.select("item_id", F.col("q").cast("int").alias("q"), F.xxhash64(F.transform("part", lambda w: F.xxhash64(w))).alias("h"), "size")
 
 
 def matches(
