@@ -24,14 +24,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of the tables written so far, in order."""
+    return list(_written)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _written:
+            _written.remove(p)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,21 +244,21 @@ def similar_links(reps: DataFrame, prints: int, radius: int, similarity: float)
     edges = None
     for k in range(prints):
         mine = reps.select("whole", F.element_at("prints", k + 1).alias("fp"))
+        # a bucket's name is a hash of its table and key; should two buckets share one, they are searched together
         masks = covering_masks(list(range(64)), radius)
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-        dealt = mine.select("fp", "whole", F.explode(keys).alias("k")).select("fp", "whole", "k.t", "k.key")
-        sizes = materialize(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-        shared = dealt.join(sizes, ["t", "key"])
-        # a bucket beyond DIRECT is dealt again by its free bits, and once more by the sketch: near copies of one text agree
-        # in most bytes of it, so four bytes at a time, in 32 ways, leave pairs of similarity 0.8 together in some way
-        small = shared.where(F.col("n") <= DIRECT).select("t", "key", F.lit(-1).alias("u"), F.lit(0).cast("long").alias("sub"), "fp", "whole")
-        members = small
+        keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+        dealt = mine.select("whole", F.explode(keys).alias("key"))
+        sizes = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        shared = dealt.join(sizes, "key")
+        # a bucket beyond DIRECT is dealt again by the sketch: near copies of one text agree in most bytes of it, so four
+        # bytes at a time, in 32 ways, leave pairs of similarity 0.8 together in some way
+        members = shared.where(F.col("n") <= DIRECT).select("key", F.lit(-1).alias("u"), F.lit(0).cast("long").alias("sub"), "whole")
         if not sizes.where(F.col("n") > DIRECT).isEmpty():
             large = shared.where(F.col("n") > DIRECT).join(reps.select("whole", "sketch"), "whole")
             ways = F.array(*[F.struct(F.lit(u).alias("u"), F.xxhash64(F.substring("sketch", 4 * u + 1, 4)).alias("sub")) for u in range(SKETCH // 4)])
-            members = small.unionByName(large.select("t", "key", "fp", "whole", F.explode(ways).alias("s")).select("t", "key", "s.u", "s.sub", "fp", "whole"))
-        full = members.join(reps.select("whole", "sketch"), "whole")
-        grouped = full.groupBy("t", "key", "u", "sub").agg(F.collect_list(F.struct("fp", "whole", "sketch")).alias("l")).where(F.size("l") > 1)
+            members = members.unionByName(large.select("key", "whole", F.explode(ways).alias("s")).select("key", "s.u", "s.sub", "whole"))
+        full = members.join(reps.select("whole", F.element_at("prints", k + 1).alias("fp"), "sketch"), "whole")
+        grouped = full.groupBy("key", "u", "sub").agg(F.collect_list(F.struct("fp", "whole", "sketch")).alias("l")).where(F.size("l") > 1)
         got = grouped.select(F.explode(run.asNondeterministic()(F.col("l.fp"), F.col("l.whole"), F.col("l.sketch"))).alias("e")).select("e.a", "e.b").distinct()
         got = materialize(got, "similar")
         edges = got if edges is None else edges.unionByName(got)
@@ -275,19 +275,24 @@ def keep_one(
     under links.
     """
     f = fresh(docs, "near")
-    rows = materialize(docs.withColumn(f, _profile_udf(size, prints)(col(text_col))), "near-rows")
-    flat = rows.select(col(id_col).alias("id"), F.col(f"{f}.whole").alias("whole"), F.col(f"{f}.prints").alias("prints"), F.col(f"{f}.sketch").alias("sketch"))
+    flat = docs.select(col(id_col).alias("id"), _profile_udf(size, prints)(col(text_col)).alias("p")).select("id", "p.*")
     reps = flat.groupBy("whole").agg(F.min("id").alias("id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "near-reps")
     labels = components(similar_links(reps, prints, radius, similarity))
     named = reps.select("whole", "id").join(labels, reps["whole"] == labels["node"], "left").select("whole", "id", F.coalesce("component", "whole").alias("component"))
     best = named.groupBy("component").agg(F.min(F.struct("id", "whole")).alias("b"))
     kept = materialize(best.select(F.col("b.id").alias(f + "i"), F.col("b.whole").alias(f + "w")), "near-kept")
-    rows = rows.withColumn(f + "x", F.col(f"{f}.whole")).drop(f)
+    rows = docs.withColumn(f + "x", whole_of(col(text_col)))
     rows = rows.join(kept, rows[id_col].eqNullSafe(kept[f + "i"]) & (rows[f + "x"] == kept[f + "w"]), "left_semi")
     return rows.dropDuplicates([id_col, f + "x"]).select(*[col(c) for c in docs.columns])
 
 
+def whole_of(text: Column) -> Column:
+    """The hash of the words that :func:`profile` gives: Spark's xxhash64 is XXH64 with seed 42."""
+    upper = "".join(map(chr, range(65, 91)))
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\x20\x09-\x0D]+", " ")))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
