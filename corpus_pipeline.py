@@ -57,7 +57,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens."""
-    return packing.place(packing.pieces(docs))
+    # executors' heaps are large by now; the encoder takes less memory, and more time
+    return packing.place(packing.pieces(docs, max_pieces=100_000))
 
 
 STAGES: list[tuple[str, Stage]] = [

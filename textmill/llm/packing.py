@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmill.llm.common import col, materialize
-from textmill.llm.tokens import crc32_of, default_tokenizer, encoder
+from textmill.llm.tokens import MAX_PIECES, crc32_of, default_tokenizer, encoder
 
 CAPACITY = 2048
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -230,7 +230,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(head, n))] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece, as a table in the shared folder."""
     path = tokenizer or default_tokenizer()
 
@@ -238,7 +238,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
-            for ids in encoder(path).encode(texts.tolist()):
+            for ids in encoder(path, max_pieces).encode(texts.tolist()):
                 ids = np.append(ids, np.uint32(end_id))
                 out.append([{"start": s, "length": n, "ids_crc32": crc32_of(ids[s : s + n])} for s, n in cut(len(ids), capacity)])
             yield pd.Series(out)

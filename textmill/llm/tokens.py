@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import col, shared_path
 
+#: Pieces that an encoder remembers: fewer take less memory and more time.
+MAX_PIECES = 600_000
 _MARKS = frozenset(".,!?;:")
 _NO_ID = np.iinfo(np.int64).min
 
@@ -42,10 +44,10 @@ class Encoder:
     Its splitting pattern starts a new token at a space or line feed that stands between other characters than white
     space, so a text can be cut there and the pieces' ids joined; a mark after letters is cut off too. The library encodes
     the pieces that are not known yet, many in a row, and the ids' byte lengths tell where each piece ends. Texts with
-    white space in other places are encoded whole. About ``max_pieces`` pieces are remembered.
+    white space in other places are encoded whole. Beyond ``max_pieces`` pieces those not met just now are forgotten.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,6 +86,16 @@ class Encoder:
         self.used += len(ids)
         return range(self.n - k, self.n)
 
+    def _keep(self, pieces: set[str]) -> None:
+        """Forget all but these pieces."""
+        kept = [(p, k) for p, k in self.known.items() if p in pieces]
+        numbers = np.array([k for _, k in kept], dtype=np.int64)
+        ids, counts, open_ = self._gather(numbers), self.count[numbers], self.open[numbers]
+        self._clear()
+        new = self._add(ids, counts)
+        self.open[new.start : new.stop] = open_
+        self.known.update(zip((p for p, _ in kept), new, strict=True))
+
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         n = self.count[numbers]
         return self.ids[np.repeat(self.start[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
@@ -100,9 +112,10 @@ class Encoder:
             else:
                 plain.append(p)
         plain += {p[:-1] for p in marked}.difference(self.known, plain)
-        groups = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
-        led = [[p if p[0] == "\n" else " " + p for p in g] for g in groups]
-        for group, texts, e in zip(groups, led, self.tok.encode_batch_fast(["".join(x) for x in led], add_special_tokens=False), strict=True):
+        for i in range(0, len(plain), 1024):  # one at a time, since the library's results are large
+            group = plain[i : i + 1024]
+            texts = [p if p[0] == "\n" else " " + p for p in group]
+            e = self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0]
             ids = np.array(e.ids, dtype=np.uint32)
             ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in texts])
             reached = np.cumsum(self.width[ids])
@@ -120,17 +133,17 @@ class Encoder:
         for t in texts:
             group.append(t or "")
             chars += len(group[-1])
-            if chars > 4_000_000:
+            if chars > 400_000 + 6 * self.max_pieces:
                 yield from self._encode(group)
                 group, chars = [], 0
         if group:
             yield from self._encode(group)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.n > self.max_pieces:
-            self._clear()
         pieces = ("\n" + "\n".join(texts)).replace("\n", " \n").split(" ")
         del pieces[0]
+        if self.n > self.max_pieces:
+            self._keep(set(pieces))
         if new := set(pieces).difference(self.known):
             self._learn(new)
         ends = np.cumsum([1 + t.count(" ") + t.count("\n") for t in texts])
@@ -144,14 +157,15 @@ class Encoder:
                 yield self._gather(piece[heads[k] : ends[k]])[1:]  # without the line feed before the text
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a vocabulary file; it outlives tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, max_pieces: int = MAX_PIECES) -> Encoder:
+    """This process's encoder for a vocabulary file; it outlives tasks. It takes about 600 MB, with 100,000 pieces half of that."""
+    key = (path, max_pieces)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, max_pieces)
+    return _encoders[key]
 
 
 def crc32_of(ids: np.ndarray) -> int:
