@@ -180,6 +180,16 @@ def test_scores(spark):
     assert abs(near - exact) < 0.15 * abs(exact)
 
 
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark):
+    rng = random.Random(8)
+    rows = [(None if i == 7 else i, " ".join(f"r{rng.randrange(300)}" for _ in range(rng.randrange(40)))) for i in range(150)] + [(200, None), (3, "r1 r2"), (3, "r1 r2")]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    want, got = (sorted(map(str, lm_scoring.score(df, max_bits=bits).collect())) for bits in (1 << 30, 64))
+    assert len(got) == len(rows) and got == want
+    h, counts = np.arange(1, 400, dtype=np.uint64), np.arange(1, 400) % 9 + 1
+    assert lm_scoring.segment(h, counts, 64) == lm_scoring.segment(h, counts, 1 << 30)
+
+
 def test_filter_levels_are_never_too_low():
     h = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
     counts = np.random.default_rng(0).integers(1, 200, len(h))

@@ -9,8 +9,9 @@ error rate to the power ``r``. The model is a bigram model with Dirichlet smooth
 One pass over the texts sends each chunk's distinct words and pairs, with counts, to buckets by hash (packed, not a row for
 each word; a frequent word costs one entry a chunk). A bucket adds them up, builds its part of the filter, and answers
 with each document's sum of ``log10(c + 0.5)`` over its words there; the sums meet by chunk. So exact unigram counts need
-no broadcast. The filter, ``BITS`` bits an entry, grows with the corpus up to ``max_bits``; beyond that a bucket leaves out
-n-grams below the smallest count that fits, which then score by smoothing, and nothing else changes.
+no broadcast. The filter, ``BITS`` bits an entry, grows with the corpus and holds every n-gram. Up to ``max_bits`` it is
+broadcast; beyond that it stays in its parts, each chunk's distinct words and pairs are sent to the buckets that hold them,
+and the levels found there meet by chunk. Both ways give the same scores.
 
 Edge cases: a null or empty text is the end token alone; without training rows all counts are zero; an empty table gives
 an empty table; rows with equal ids are told apart by their text, and identical rows get the same scores each; a null id
@@ -32,6 +33,7 @@ from textmill.llm.common import col, materialize
 
 BITS, PROBES, MAX_BITS, MU = 6, 4, 1 << 30, 200.0
 _CHUNK_WORDS = 1_200_000
+_BLOCK = 1 << 27
 _M, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = xxhash.xxh3_64_intdigest(b"\n")  # a line feed is in no word
 
@@ -120,19 +122,18 @@ def _positions(h: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
         yield (a + np.uint64(j) * b) % size
 
 
-def segment(h: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
-    """A bucket's part of the filter: at least 64 bits."""
+def segment(h: np.ndarray, counts: np.ndarray, block: int = _BLOCK) -> bytes:
+    """A bucket's part of the filter, of all its n-grams: at least 64 bits, set ``block`` (a multiple of 8) at a time."""
     q = levels(counts)
-    floor = 1
-    while int(q[q >= floor].sum()) * BITS > most_bits:  # only beyond the broadcast's bound
-        floor += 1
-    h, q = h[q >= floor], q[q >= floor]
     size = max(64, -(-int(q.sum()) * BITS // 8) * 8)
-    bits = np.zeros(size, dtype=np.uint8)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        for p in _positions(h[q >= level], level, np.uint64(size)):
-            bits[p] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    out = []
+    for lo in range(0, size, block):
+        bits = np.zeros(min(block, size - lo), dtype=np.uint8)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            for p in _positions(h[q >= level], level, np.uint64(size)):
+                bits[p if size <= block else p[(p >= lo) & (p < lo + len(bits))] - np.uint64(lo)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return b"".join(out)
 
 
 class Filter:
@@ -170,10 +171,22 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 _SENT = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
+_COLUMNS = ["bucket", "kind", "chunk", "a", "b", "c", "d", "e"]
+_SCORED = "doc_id long, key long, score double"
 _GOT = "bucket int, kind int, chunk long, a binary, b binary, c binary"
 _WORDS, _PAIRS, _META, _PART, _STATS = 0, 1, 2, 3, 4
 
 
+def _ids_bytes(ids: list) -> bytes:
+    known = np.array([0 if pd.isna(i) else int(i) for i in ids], dtype="<i8")
+    return known.tobytes() + np.array([pd.isna(i) for i in ids]).tobytes()
+
+
+def _ids_from(b: bytes, k: int) -> pd.Series:
+    ids, null = np.frombuffer(b, dtype="<i8", count=k), np.frombuffer(b, dtype=bool, offset=8 * k)
+    return pd.Series(ids, dtype="Int64").mask(pd.Series(null))
+
+
 def _send(buckets: int, hold_out: int, folds: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -205,19 +218,17 @@ def _send(buckets: int, hold_out: int, folds: int):
                 lo, hi = edge[b], edge[b + 1]
                 if lo < hi:
                     out.append((b, _PAIRS, chunk, _sorted_bytes(two[lo:hi]), _z(n_two[lo:hi], "<u4"), None, None, None))
-            known = np.array([0 if pd.isna(i) else int(i) for i in ids], dtype="<i8")
-            null = np.array([pd.isna(i) for i in ids])
-            out.append((int(chunk % buckets), _META, chunk, known.tobytes(), null.tobytes(), np.array(keys, dtype="<i8").tobytes(), sizes.astype("<i8").tobytes(), None))
-            yield pd.DataFrame(out, columns=["bucket", "kind", "chunk", "a", "b", "c", "d", "e"])
+            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), np.array(keys, dtype="<i8").tobytes(), sizes.astype("<i8").tobytes(), None, None))
+            yield pd.DataFrame(out, columns=_COLUMNS)
             chunk += 1
 
     return send
 
 
-def _settle(buckets: int, max_bits: int):
+def _settle():
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         b = int(part["bucket"].iloc[0])
-        out = [(b, _META, m.chunk, m.a + m.b, m.c, m.d) for m in part[part["kind"] == _META].itertuples()]
+        out = [(b, _META, m.chunk, m.a, m.b, m.c) for m in part[part["kind"] == _META].itertuples()]
         words = part[part["kind"] == _WORDS]
         have = [_sorted_from(x) for x in words["a"]]
         u, inv = np.unique(np.concatenate([*have, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
@@ -242,7 +253,7 @@ def _settle(buckets: int, max_bits: int):
         h, n2 = h[first], np.add.reduceat(n2, first) if len(first) else n2
         seen = counts > 0
         stats = np.array([counts.sum(), seen.sum(), len(h)], dtype="<i8")
-        out.append((b, _STATS, 0, stats.tobytes(), segment(np.concatenate([_mix(u[seen]), h]), np.concatenate([counts[seen], n2]), max_bits // buckets), None))
+        out.append((b, _STATS, 0, stats.tobytes(), segment(np.concatenate([_mix(u[seen]), h]), np.concatenate([counts[seen], n2])), None))
         return pd.DataFrame(out, columns=["bucket", "kind", "chunk", "a", "b", "c"])
 
     return settle
@@ -255,51 +266,117 @@ def _add_up(n: int, v: int):
         meta = part[part["kind"] == _META].iloc[0]
         keys, sizes = np.frombuffer(meta["b"], dtype="<i8"), np.frombuffer(meta["c"], dtype="<i8")
         k = len(keys)
-        ids, null = np.frombuffer(meta["a"], dtype="<i8", count=k), np.frombuffer(meta["a"], dtype=bool, offset=8 * k)
         sums, known = np.zeros(k), np.zeros(k, dtype=np.int64)
         for m in part[part["kind"] == _PART].sort_values("bucket").itertuples():
             x, y = np.frombuffer(m.a, dtype="<f8"), np.frombuffer(m.b, dtype="<i8")
             sums[: len(x)] += x
             known[: len(y)] += y
-        who = pd.Series(ids, dtype="Int64").mask(pd.Series(null))
-        return pd.DataFrame({"doc_id": who, "key": keys, "n_tokens": sizes, "n_known": known, "base_score": sums - sizes * cost})
+        return pd.DataFrame({"doc_id": _ids_from(meta["a"], k), "key": keys, "n_tokens": sizes, "n_known": known, "base_score": sums - sizes * cost})
 
     return add
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 1, folds: int = 5, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("k"), col(text_col).alias("t"))
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = rows.mapInPandas(_send(buckets, hold_out, folds), _SENT).groupBy("bucket").applyInPandas(_settle(buckets, max_bits), _GOT)
-    got = materialize(got, "lm")
-    # at most max_bits / 8 bytes and three numbers a bucket
-    parts = {r["bucket"]: (np.frombuffer(r["a"], dtype="<i8"), r["b"]) for r in got.where(F.col("kind") == _STATS).select("bucket", "a", "b").collect()}
-    n, v = (int(sum(p[0][j] for p in parts.values())) for j in (0, 1))
-    shared = spark.sparkContext.broadcast([parts[b][1] if b in parts else bytes(8) for b in range(buckets)])
-    del parts
+def _sums(one: np.ndarray, inv: np.ndarray, two: np.ndarray, sizes: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
+    """Each document's score: ``one`` has the levels of the distinct words, ``inv`` each token's place there, ``two`` the levels of all pairs."""
+    c1 = _value(one)
+    p1 = ((c1 + 0.5) / (n + 0.5 * (v + 1)))[inv]
+    c1 = c1[inv]
+    firsts = np.cumsum(sizes) - sizes
+    before = np.empty_like(c1)
+    before[1:] = c1[:-1]
+    before[firsts] = c1[sizes[0] - 1]  # a document's last token is the end token
+    c2 = np.minimum(_value(two), before)
+    return np.add.reduceat(np.log10((c2 + mu * np.minimum(p1, 1.0)) / (before + mu)), firsts)
+
+
+def _ask(buckets: int):
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for ids, keys, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
+            u, inv = np.unique(w, return_inverse=True)
+            two, inv_two = np.unique(pairs(w, np.cumsum(sizes) - sizes), return_inverse=True)
+            out = []
+            for kind, h in ((_WORDS, u), (_PAIRS, two)):
+                edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+                out += [(b, kind, chunk, _sorted_bytes(h[edge[b] : edge[b + 1]]), None, None, None, None) for b in range(buckets) if edge[b] < edge[b + 1]]
+            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), np.array(keys, dtype="<i8").tobytes(), sizes.astype("<i8").tobytes(), _z(inv, "<u4"), _z(inv_two, "<u4")))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+            chunk += 1
+
+    return ask
+
+
+def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Levels in place of hashes; a bucket's part of the filter comes before its questions, and one is held at a time."""
+    at, f = -1, None
+    for batch in batches:
+        out = []
+        for m in batch.itertuples(index=False):
+            if m.kind == _STATS:
+                at, f = m.bucket, Filter([m.a])
+            elif m.kind == _META:
+                out.append(tuple(m))
+            else:
+                h = _sorted_from(m.a)
+                got = f.level(_mix(h) if m.kind == _WORDS else h) if m.bucket == at else np.zeros(len(h))
+                out.append((m.bucket, m.kind, m.chunk, _z(got, "u1"), None, None, None, None))
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _meet(n: int, v: int, mu: float):
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        meta = part[part["kind"] == _META].iloc[0]
+        keys, sizes = np.frombuffer(meta["b"], dtype="<i8"), np.frombuffer(meta["c"], dtype="<i8")
+        # hashes are sorted, so buckets in order give their levels in order
+        one, two = (np.concatenate([_unz(x, "u1") for x in part[part["kind"] == kind].sort_values("bucket")["a"]]).astype(np.int64) for kind in (_WORDS, _PAIRS))
+        sums = _sums(one, _unz(meta["d"], "<u4"), two[_unz(meta["e"], "<u4")], sizes, n, v, mu)
+        return pd.DataFrame({"doc_id": _ids_from(meta["a"], len(keys)), "key": keys, "score": sums})
+
+    return meet
+
+
+def _by_broadcast(rows: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
+    # at most max_bits / 8 bytes
+    known = {r["bucket"]: r["b"] for r in parts.select("bucket", "b").collect()}
+    shared = rows.sparkSession.sparkContext.broadcast([known.get(b, bytes(8)) for b in range(buckets)])
+    del known
 
     def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = None
         for ids, keys, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
             f = f or Filter(shared.value)
-            end = np.array([END], dtype=np.uint64)
-            firsts = np.cumsum(sizes) - sizes
             u, inv = np.unique(w, return_inverse=True)
-            c1 = _value(f.level(_mix(u), u))
-            p1 = ((c1 + 0.5) / (n + 0.5 * (v + 1)))[inv]
-            c1 = c1[inv]
-            before = np.empty_like(c1)
-            before[1:] = c1[:-1]
-            before[firsts] = _value(f.level(_mix(end), end))[0]
-            c2 = np.minimum(_value(f.level(pairs(w, firsts))), before)
-            logs = np.log10((c2 + mu * np.minimum(p1, 1.0)) / (before + mu))
-            yield pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64"), "key": keys, "score": np.add.reduceat(logs, firsts)})
+            sums = _sums(f.level(_mix(u), u), inv, f.level(pairs(w, np.cumsum(sizes) - sizes)), sizes, n, v, mu)
+            yield pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64"), "key": keys, "score": sums})
+
+    return rows.mapInPandas(model, _SCORED)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 1, folds: int = 5, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
+    spark = docs.sparkSession
+    rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("k"), col(text_col).alias("t"))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = rows.mapInPandas(_send(buckets, hold_out, folds), _SENT).groupBy("bucket").applyInPandas(_settle(), _GOT)
+    got = materialize(got, "lm")
+    parts = got.where(F.col("kind") == _STATS)
+    # three numbers and a size a bucket
+    stats = [(np.frombuffer(r["a"], dtype="<i8"), r["size"]) for r in parts.select("a", F.length("b").cast("long").alias("size")).collect()]
+    n, v = (int(sum(p[0][j] for p in stats)) for j in (0, 1))
+    if sum(p[1] for p in stats) * 8 <= max_bits:
+        mine = _by_broadcast(rows, parts, buckets, n, v, mu)
+    else:
+        asked = rows.mapInPandas(_ask(buckets), _SENT)
+        none = F.lit(None).cast("binary")
+        held = parts.select("bucket", "kind", "chunk", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"), none.alias("e"))
+        dealt = asked.unionByName(held).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))  # _STATS is the highest kind
+        mine = dealt.mapInPandas(_answer, _SENT).groupBy("chunk").applyInPandas(_meet(n, v, mu), _SCORED)
+    mine = mine.alias("m")
 
     base = got.where(F.col("kind").isin(_META, _PART)).groupBy("chunk").applyInPandas(_add_up(n, v), "doc_id long, key long, n_tokens long, n_known long, base_score double")
     base = base.dropDuplicates(["doc_id", "key"])
-    mine = rows.mapInPandas(model, "doc_id long, key long, score double").alias("m")
     both = mine.join(base.alias("b"), F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.key") == F.col("b.key")))
     held = F.crc32(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("")).cast("binary")) % folds == hold_out
     return both.select("m.doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
