@@ -35,3 +35,11 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_markdown_keeps_every_line(spark, tmp_path):
+    lines = [f"line {i}" for i in range(1500)]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "one line"), (3, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ctx_id: r.text for r in queries._markdown(spark, str(tmp_path)).collect()}
+    assert got[1] == "# line 0\n\n" + "\n\n".join(lines[1:]) + "\n```text\nline 1499\n```\n## End\nlast words here\n"
+    assert got[2] == "# one line\n\n\n```text\none line\n```\n## End\nlast words here\n" and got[3].startswith("# \n\n")

@@ -39,7 +39,7 @@ def _sources(spark, sf: str) -> DataFrame:
 def _markdown(spark, sf: str) -> DataFrame:
     """Documents dressed as markdown: a heading, blank lines, a fenced last line."""
     lines = F.split("text", "\n")
-    text = F.concat(F.lit("# "), F.element_at(lines, 1), F.lit("\n\n"), F.array_join(F.slice(lines, 2, 1000), "\n\n"), F.lit("\n```text\n"), F.element_at(lines, -1), F.lit("\n```\n## End\nlast words here\n"))
+    text = F.concat(F.lit("# "), F.element_at(lines, 1), F.lit("\n\n"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n\n"), F.lit("\n```text\n"), F.element_at(lines, -1), F.lit("\n```\n## End\nlast words here\n"))
     return _docs(spark, sf).withColumn("text", text)
 
 
