@@ -252,6 +252,14 @@ def test_reparameterised_questions_are_found(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_verbatim_copies_are_found_whatever_they_hold(spark):
+    texts = ["Compute 12 + 7 * 3 - 4 / 2 = ?", "3 , 5 , 8 , 13 , 21 , what comes next ?", "What Is The Capital City Of The French Republic?", "Who Wrote War And Peace", "Define osmosis", "? !"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = [(i, f"It was said, {t} and so on") for i, t in enumerate(texts)] + [(10 + i, t.lower()) for i, t in enumerate(texts)] + [(20, "Compute 12 + 7 * 3 - 5 / 2 = ?"), (21, "define the osmosis")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {(k + i, i) for i in range(5) for k in (0, 10)}
+
+
 @needs_data
 def test_planted_passages(spark):
     import pandas as pd

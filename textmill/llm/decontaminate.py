@@ -1,4 +1,4 @@
-"""Benchmark decontamination by template windows, with DataFrame functions only.
+"""Benchmark decontamination by template windows and own words, with DataFrame functions only.
 
 Both sides are canonicalised word by word: numbers become ``<n>``, units ``<u>``, capitalised words that don't begin a
 sentence ``<p>`` (a name), everything else is lower-cased without outer punctuation. A window is ``window`` words in a
@@ -8,7 +8,9 @@ found. Matches lie on diagonals (document position minus item position). For eac
 matched windows are then compared: one and the same original value must stand for one and the same new value all over a
 diagonal, and kind for kind; diagonals that contradict themselves are dropped, unless the words are the same to the letter.
 
-An item shorter than a window counts as one window of its own length if it has ``shortest`` words or more.
+Windows are joined on their own lower-cased words too, whatever they hold, so that a verbatim copy is always found. An item
+shorter than a window counts as one window of its own length; with fewer than ``shortest`` words it is joined on its own
+words only, so an item of one word matches each document that has the word. A window of punctuation alone is none.
 
 The document side is a stream of (id, position, hash) rows joined with the distinct hashes of the benchmark. That side is
 broadcast only if there are at most ``BROADCAST_ROWS`` of them, else Spark picks a shuffled join; the same holds for the ids
@@ -35,32 +37,38 @@ UNITS = (
     "kilograms", "ounce", "ounces", "pound", "pounds", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "sec", "minute", "minutes", "min",
     "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "km/h", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "%", "degree", "degrees",
 )
-_OUTER = r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$"
+INNER, ALL, EXACT = 1, 2, 3
+MODES = (INNER, EXACT)
 
 
-def words(text: Column) -> Column:
-    """Words between spaces and line breaks; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def canonical(text: Column) -> Column:
-    """The text with placeholders, its words in lower case without outer punctuation and joined by one space.
+def tagged(text: Column) -> Column:
+    """The text's words in lower case without outer punctuation, joined by one space, each with a sign before it if it can
+    be a placeholder: ``\x01`` a name, ``\x03`` a capitalised word that begins a sentence, ``\x04`` a number, ``\x05`` a unit.
 
     Works on the whole string, since regular expressions over strings run compiled, and lambdas over arrays don't. A word
-    of punctuation alone stays as a sign, so that words keep their places.
+    of punctuation alone becomes ``\x02``, so that words keep their places.
     """
     t = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    units = "|".join(u.replace("/", r"\/") for u in sorted(UNITS, key=len, reverse=True))
     # each pattern begins with what is rare, so that most characters are passed by after one test
     # a capital after a word that doesn't end a sentence begins a name
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?:;\x20\"”»)\]|]\x20\p{Lu})[\p{Ll}\p{M}'’-]+(?=[^\p{L}\p{N}])", "\x01p")
+    t = F.regexp_replace(t, r"(\p{Lu}(?<=[^.!?:;\x20\"”»)\]|]\x20\p{Lu})[\p{Ll}\p{M}'’-]+)(?=[^\p{L}\p{N}])", "\x01$1")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"\x20[^\p{L}\p{N}%\x20\x01]+(?=\x20)", " \x02")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}%\x20\x01\x02]+(?:(?=\x20)|(?<=\x20[^\p{L}\p{N}%\x20\x01\x02]{1,20}))", "")
-    t = F.regexp_replace(t, r"\x20\p{N}[\p{N}.,:/]*(?=\x20)", " \x01n")
-    t = F.regexp_replace(t, r"\x01n\x20(?:" + "|".join(u.replace("/", r"\/") for u in sorted(UNITS, key=len, reverse=True)) + r")(?=\x20)", "\x01n \x01u")
+    t = F.regexp_replace(t, r"\x20[^\p{L}\p{N}%\x20\x01\x03]+(?=\x20)", " \x02")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}%\x20\x01\x02\x03]+(?:(?=\x20)|(?<=\x20[^\p{L}\p{N}%\x20\x01\x02\x03]{1,20}))", "")
+    t = F.regexp_replace(t, r"\x20(\p{N}[\p{N}.,:/]*)(?=\x20)", " \x04$1")
+    t = F.regexp_replace(t, r"(\x04[^\x20]*\x20)(" + units + r")(?=\x20)", "$1\x05$2")
     return F.trim(t)
 
 
+def view(t: Column, mode: int) -> Column:
+    """A tagged text as templates (``INNER``: names within sentences; ``ALL``: capitalised words that begin one, too) or own words (``EXACT``)."""
+    if mode == EXACT:
+        return F.translate(t, "\x01\x03\x04\x05", "")
+    t = F.regexp_replace(F.translate(t, "\x03", "") if mode == INNER else t, r"[\x01\x03][^\x20]*", "\x01p")
+    return F.regexp_replace(F.regexp_replace(t, r"\x04[^\x20]*", "\x01n"), r"\x05[^\x20]*", "\x01u")
+
+
 def grams(canon: Column, window: int) -> Column:
     """Hashes of the windows of a canonical text, in order; of the whole, if it is shorter."""
     bound = F.array(F.transform(F.split(canon, " "), lambda w: F.xxhash64(w)))  # bound to a variable of its own, else the split is made anew for each window
@@ -72,63 +80,75 @@ def grams(canon: Column, window: int) -> Column:
     return F.element_at(F.transform(bound, many), 1)  # the text is looked at once; an empty one gives a hash that no window has
 
 
+def _views(t: Column, modes: list[int] | tuple[int, ...] = MODES) -> Column:
+    """A row for each mode: ``v.mode, v.canon``."""
+    return F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), view(t, m).alias("canon")) for m in modes])).alias("v")
+
+
 def _items(bench: DataFrame, item_col: str, text_col: str, window: int, literals: int, shortest: int) -> DataFrame:
-    """``item_id, q, h, size``: windows of the benchmark with enough literal words."""
-    rows = bench.select(col(item_col).alias("item_id"), canonical(col(text_col)).alias("canon")).where("canon <> ''")
-    rows = rows.withColumn("w", F.split("canon", " ")).withColumn("n", F.size("w"))
-    rows = rows.where(F.col("n") >= shortest).withColumn("size", F.least("n", F.lit(window)))
-    rows = rows.select("item_id", "w", "size", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("q"))
-    part = F.slice("w", F.col("q"), F.col("size"))
-    rows = rows.withColumn("part", part).where(F.size(F.filter("part", lambda x: ~x.startswith("\x01") & (x != "\x02"))) >= F.least(F.lit(literals), F.col("size") - 1))
-    return rows.select("item_id", F.col("q").cast("int").alias("q"), F.xxhash64(F.transform("part", lambda w: F.xxhash64(w))).alias("h"), "size")
+    """``item_id, mode, q, h, size``: the benchmark's windows, as templates those with enough literal words, as own words all."""
+    rows = bench.select(col(item_col).alias("item_id"), tagged(col(text_col)).alias("tagged")).where("tagged <> ''").select("item_id", _views(F.col("tagged"))).select("item_id", "v.*")
+    rows = rows.withColumn("w", F.split("canon", " ")).withColumn("n", F.size("w")).withColumn("size", F.least("n", F.lit(window)))
+    rows = rows.select("item_id", "mode", "w", "n", "size", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("q"))
+    rows = rows.withColumn("part", F.slice("w", F.col("q"), F.col("size")))
+    literal = F.size(F.filter("part", lambda x: ~x.startswith("\x01") & (x != "\x02")))
+    template = (F.col("n") >= shortest) & (literal >= F.least(F.lit(literals), F.col("size") - 1))
+    rows = rows.where(F.when(F.col("mode") == EXACT, literal > 0).otherwise(template))
+    return rows.select("item_id", "mode", F.col("q").cast("int").alias("q"), F.xxhash64(F.transform("part", lambda w: F.xxhash64(w))).alias("h"), "size")
 
 
 def matches(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, literals: int = LITERALS, shortest: int = SHORTEST,
 ) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_slots, n_changed`` for every document and item that share consistent template windows."""
+    """``doc_id, item_id, n_windows, n_slots, n_changed`` for every document and item that share own words or consistent template windows."""
     items = materialize(_items(bench, item_col, item_text_col, window, literals, shortest), "bench-windows")
-    keys = materialize(items.select("h", "size").distinct(), "bench-keys")
+    keys = materialize(items.select("mode", "h", "size").distinct(), "bench-keys")
     small = keys.count() <= BROADCAST_ROWS
-    short = [r[0] for r in keys.select("size").distinct().collect() if r[0] < window]  # at most window - shortest sizes
-    ids = docs.select(col(id_col).alias("doc_id"), canonical(col(text_col)).alias("canon"))
+    asked: dict[int, list[int]] = {window: []}
+    for r in keys.select("size", "mode").distinct().collect():  # at most window sizes in each mode
+        asked.setdefault(r["size"], []).append(r["mode"])
+    ids = docs.select(col(id_col).alias("doc_id"), tagged(col(text_col)).alias("tagged"))
     hits = None
-    for size in [window, *sorted(short)]:
-        own = keys.where(F.col("size") == size).select("h")
-        places = ids.select("doc_id", F.posexplode(grams(F.col("canon"), size)).alias("p", "h"))
-        got = places.join(F.broadcast(own) if small else own, "h").select("doc_id", (F.col("p") + 1).alias("p"), "h", F.lit(size).alias("size"))
+    for size in [window, *sorted(s for s in asked if s < window)]:
+        own = keys.where(F.col("size") == size).select("mode", "h")
+        views = ids.select("doc_id", _views(F.col("tagged"), sorted(asked[size]) or [INNER])).select("doc_id", "v.mode", "v.canon")
+        places = views.select("doc_id", "mode", F.posexplode(grams(F.col("canon"), size)).alias("p", "h"))
+        got = places.join(F.broadcast(own) if small else own, ["mode", "h"]).select("doc_id", "mode", (F.col("p") + 1).alias("p"), "h", F.lit(size).alias("size"))
         hits = got if hits is None else hits.unionByName(got)
     hits = materialize(hits.distinct(), "bench-hits")
     return _consistent(hits, items, docs, bench, id_col, text_col, item_col, item_text_col)
 
 
 def _consistent(hits, items, docs, bench, id_col, text_col, item_col, item_text_col) -> DataFrame:
-    """Compares slots along diagonals."""
-    pairs = hits.join(items.withColumnRenamed("size", "s").withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & (F.col("size") == F.col("s")))
-    pairs = pairs.select("doc_id", "item_id", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"), "size")
-    ends = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("n"), F.collect_set(F.struct("p", "size")).alias("at"))
+    """Compares slots along diagonals, each mode by itself; windows of the same own words need no comparison."""
+    pairs = hits.join(items, ["mode", "h", "size"])
+    pairs = pairs.select("doc_id", "item_id", "mode", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"), "size")
+    ends = pairs.groupBy("doc_id", "item_id", "diagonal", "mode").agg(F.collect_set(F.struct("p", "size")).alias("at"))
     ends = materialize(ends, "bench-diagonals")
     touched = materialize(ends.select("doc_id").distinct(), "bench-touched")
     small = touched.count() <= BROADCAST_ROWS
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t")).join(F.broadcast(touched) if small else touched, "doc_id", "left_semi")
     # worked out after the join, so for documents with a match only
-    texts = rows.select("doc_id", F.split(canonical(F.col("t")), " ").alias("canon"), words(F.col("t")).alias("own"))
-    asked = bench.select(col(item_col).alias("item_id"), words(col(item_text_col)).alias("asked"))
-    both = ends.join(texts, "doc_id").join(asked, "item_id")
+    texts = rows.select("doc_id", tagged(F.col("t")).alias("tagged")).select("doc_id", F.split(view(F.col("tagged"), EXACT), " ").alias("own"), _views(F.col("tagged")))
+    texts = texts.select("doc_id", "own", "v.mode", F.split("v.canon", " ").alias("canon"))
+    texts = texts.withColumn("canon", F.when(F.col("mode") == EXACT, F.lit(None)).otherwise(F.col("canon")))
+    asked = bench.select(col(item_col).alias("item_id"), F.split(view(tagged(col(item_text_col)), EXACT), " ").alias("asked"))
+    both = ends.join(texts, ["doc_id", "mode"]).join(asked, "item_id")
     spans = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["p"], a["p"] + a["size"] - 1))))
-    clean = lambda w: F.lower(F.regexp_replace(w, _OUTER, ""))
     places = F.transform(spans, lambda i: F.struct(
-        F.try_element_at("canon", i).alias("kind"), clean(F.try_element_at("own", i)).alias("new"), clean(F.try_element_at("asked", (i - F.col("diagonal")).cast("int"))).alias("old"),
+        F.try_element_at("canon", i).alias("kind"), F.try_element_at("own", i).alias("new"), F.try_element_at("asked", (i - F.col("diagonal")).cast("int")).alias("old"),
     ))
-    slots = F.filter(places, lambda s: s["kind"].startswith("\x01"))
-    both = both.select("doc_id", "item_id", "diagonal", "n", slots.alias("slots"))
+    slots = F.coalesce(F.filter(places, lambda s: s["kind"].startswith("\x01")), F.array())
+    both = both.select("doc_id", "item_id", "diagonal", "mode", "at", slots.alias("slots"))
     # one old value, one new value: as many pairs as old values (kind for kind, since templates are equal)
     olds = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["old"]))))
     news = F.size(F.array_distinct(F.col("slots")))
     changed = F.size(F.array_distinct(F.filter("slots", lambda s: ~s["old"].eqNullSafe(s["new"]))))
-    good = both.withColumn("changed", changed).where((olds == news) | (F.col("changed") == 0))
-    return good.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.max("changed").cast("long").alias("n_changed"))
+    good = both.withColumn("changed", changed).where((F.col("mode") == EXACT) | (olds == news) | (F.col("changed") == 0))
+    # a window found in several modes is one
+    one = good.groupBy("doc_id", "item_id", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max(F.size("slots")).alias("slots"), F.max("changed").alias("changed"))
+    return one.groupBy("doc_id", "item_id").agg(F.sum("n").cast("long").alias("n_windows"), F.max("slots").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
