@@ -260,6 +260,17 @@ def test_verbatim_copies_are_found_whatever_they_hold(spark):
     assert got == {(k + i, i) for i in range(5) for k in (0, 10)}
 
 
+def test_names_that_begin_sentences_and_joined_units_are_placeholders(spark):
+    texts = ["Anna bought 12 pens. Ben bought 5 pens. Carl bought 9 pens. Dora bought 3 pens.", "a rope of 5km was cut by 20% and then by 30% before it was sold"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = [
+        (0, "Emma bought 14 pens. Finn bought 6 pens. Gus bought 8 pens. Hal bought 2 pens."), (1, "a rope of 7miles was cut by 25% and then by 35% before it was sold"),
+        (2, "Emma sold 14 pens. Finn found 6 cups. Gus kept 8 mats. Hal lost 2 keys."), (3, "a rope of 7miles had to be cut by 25% and later by 35% and then sold"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {(0, 0), (1, 1)}
+
+
 @needs_data
 def test_planted_passages(spark):
     import pandas as pd

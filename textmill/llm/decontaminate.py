@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows and own words, with DataFrame functions only.
 
 Both sides are canonicalised word by word: numbers become ``<n>``, units ``<u>``, capitalised words that don't begin a
-sentence ``<p>`` (a name), everything else is lower-cased without outer punctuation. A window is ``window`` words in a
+sentence ``<p>`` (a name), everything else is lower-cased without outer punctuation. A second template has ``<p>`` for
+capitalised words that begin a sentence, too. A unit or percent sign joined to a number is split off. A window is ``window`` words in a
 row; its template is the sequence of canonical words. Templates of benchmark windows with at least ``literals`` words that
 are no placeholder are hash-joined with those of documents, so a question with other numbers, names or units is still
 found. Matches lie on diagonals (document position minus item position). For each document and item the slots of the
@@ -38,7 +39,7 @@ UNITS = (
     "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "km/h", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "%", "degree", "degrees",
 )
 INNER, ALL, EXACT = 1, 2, 3
-MODES = (INNER, EXACT)
+MODES = (INNER, ALL, EXACT)
 
 
 def tagged(text: Column) -> Column:
@@ -51,8 +52,11 @@ def tagged(text: Column) -> Column:
     t = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
     units = "|".join(u.replace("/", r"\/") for u in sorted(UNITS, key=len, reverse=True))
     # each pattern begins with what is rare, so that most characters are passed by after one test
+    # a unit joined to its number becomes a word
+    t = F.regexp_replace(t, r"(\p{N})((?i:" + units + r"))(?=[^\p{L}\p{N}%])", "$1 $2")
     # a capital after a word that doesn't end a sentence begins a name
     t = F.regexp_replace(t, r"(\p{Lu}(?<=[^.!?:;\x20\"”»)\]|]\x20\p{Lu})[\p{Ll}\p{M}'’-]+)(?=[^\p{L}\p{N}])", "\x01$1")
+    t = F.regexp_replace(t, r"(\p{Lu}(?<=\x20[^\p{L}\p{N}%\x20\x01]{0,20}\p{Lu})[\p{Ll}\p{M}'’-]+)(?=[^\p{L}\p{N}])", "\x03$1")
     t = F.lower(t)
     t = F.regexp_replace(t, r"\x20[^\p{L}\p{N}%\x20\x01\x03]+(?=\x20)", " \x02")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}%\x20\x01\x02\x03]+(?:(?=\x20)|(?<=\x20[^\p{L}\p{N}%\x20\x01\x02\x03]{1,20}))", "")
