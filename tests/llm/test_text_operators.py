@@ -312,6 +312,15 @@ def test_url_model_generalises():
         url_filter.fit([("http://a/", 0)] * (url_filter.MAX_LABELLED + 1))
 
 
+def test_urls_at_the_querys_threshold():
+    p, y = url_filter.held_out()
+    blocked = p >= url_filter.THRESHOLD
+    assert blocked[y == 1].mean() > 0.25 and blocked[y == 0].mean() <= 0.05
+    w, b = url_filter.fit(url_filter.labelled_urls())
+    verdict = lambda host: url_filter.chance(w, b, host, "/") >= url_filter.THRESHOLD
+    assert all(map(verdict, ("onlinecasino.com", "freeporn.tv", "pokerstars.com"))) and not any(map(verdict, ("wikipedia.org", "www.essex.ac.uk", "alphabet.com", "github.com")))
+
+
 # --- secrets
 
 
