@@ -3,13 +3,14 @@
 What is packed are token counts, and a count is a whole number from 1 to the capacity; so a histogram of at most
 ``capacity`` rows holds the whole problem at any size of corpus. The solver works on it:
 
-- the largest piece left opens a sequence; fillings of the room beside it are enumerated by growing waste, then by number
-  of pieces, leaving out dominated ones (a filling is dominated if pieces of it could be swapped for one larger or equal
-  piece that is left); a bitset of reachable sums prunes branches that can't reach the waste in question;
-- the best filling is repeated as often as its pieces last, so each step uses up a length;
-- the last ``tail`` pieces are searched by branch and bound: a branch is cut when the waste spent so far rules out fewer
-  sequences than the incumbent, the incumbent being the better of best-fit decreasing and the first descent;
-- best-fit decreasing over everything is an incumbent too, and the search ends at the lower bound.
+- the largest piece left opens a sequence; fillings of the room beside it are enumerated by growing waste, then from large
+  pieces to small, leaving out dominated ones (a filling is dominated if pieces of it could be swapped for one larger or equal
+  piece that is left). Bitsets of the sums that the smaller lengths can still reach, with as many pieces as there are, lead
+  the enumeration, so the first filling is the one with the least waste of all, whatever the number of pieces in it;
+- in the descent the best filling is repeated as often as its pieces last, so each step uses up a length;
+- if the descent doesn't reach the lower bound, its last pieces (``TAILS``, more and more of them) are searched by branch and
+  bound: a branch is cut when the waste spent so far rules out fewer sequences than the incumbent has;
+- best-fit decreasing, over the tail and over everything, is the incumbent that the search has to beat.
 
 Every piece then finds its place from its rank among pieces of its length and the plan's intervals of ranks. Ranks are
 counted in salted groups, so a length that a third of all pieces share is spread over many tasks.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,78 +35,70 @@ from textmill.llm.common import col, materialize
 from textmill.llm.tokens import MAX_PIECES, crc32_of, default_tokenizer, encoder
 
 CAPACITY = 2048
+#: Pieces at the end that are searched, and how many nodes and fillings of a node at most.
+TAILS, NODES, WIDTH = (24, 64, 160), 1500, 8
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
 # --- solver ---------------------------------------------------------------------------------------------------------
 
 
+def _spread(bits: int, by: int) -> int:
+    """Every bit, moved up by 0 to ``by`` places."""
+    out, done = bits, 0
+    while done < by:
+        step = min(done + 1, by - done)
+        out |= out << step
+        done += step
+    return out
+
+
 def dominated(items: tuple[int, ...], waste: int, left: Counter) -> bool:
     """Whether a piece that is left could take the place of pieces of this filling, all the room they use or more."""
-    if len(items) > 10:
-        return False
+    one = more = 0  # sums of one piece, and of two or more
+    for x in items:
+        more |= (more | one) << x
+        one |= 1 << x
     used = Counter(items)
-    for k in range(1, len(items) + 1):
-        for part in set(combinations(items, k)):
-            s = sum(part)
-            for x in range(s if k > 1 else s + 1, s + waste + 1):
-                if left.get(x, 0) > used.get(x, 0):
-                    return True
-    return False
+    spare = sum(1 << x for x, n in left.items() if n > used.get(x, 0))
+    return bool((_spread(more, waste) | _spread(one << 1, waste - 1) if waste else more) & spare)
+
+
+def _reach(lens: list[int], left: Counter, room: int) -> list[int]:
+    """``out[i]``: the sums up to ``room`` of pieces of ``lens[i:]``, no more than are left, as bits."""
+    full, out = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lens):
+        bits, n, part = out[-1], min(left[x], room // x), 1
+        while n:
+            part = min(part, n)
+            bits |= (bits << (part * x)) & full
+            n, part = n - part, 2 * part
+        out.append(bits)
+    return out[::-1]
 
 
-def fillings(left: Counter, room: int, nodes: int = 4000) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room``, by growing waste, then by number of pieces; each non-increasing."""
+def fillings(left: Counter, room: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room``, by growing waste, then from large pieces to small; each non-increasing."""
     lens = sorted((x for x, n in left.items() if n > 0 and x <= room), reverse=True)
-    if not lens:
-        yield ()
-        return
-    full = (1 << (room + 1)) - 1
-    reach = [1]  # reach[k]: the sums of k pieces, as bits; worked out when needed
-
-    def reachable(k: int) -> int:
-        while len(reach) <= k:
-            nxt = 0
-            for x in lens:
-                nxt |= reach[-1] << x
-            reach.append(nxt & full)
-        return reach[k]
-
-    most_pieces = min(room // lens[-1], 64)
-    budget = [nodes]
-
-    def search(k: int, target: int, most: int, have: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        if k == 0:
-            yield have
-            return
-        for x in lens:
-            if x > most or x > target:
-                continue
-            if x * k < target or budget[0] <= 0:
-                return
-            budget[0] -= 1
-            if (reachable(k - 1) >> (target - x)) & 1 and have.count(x) < left[x]:
-                yield from search(k - 1, target - x, x, (*have, x))
+    reach = _reach(lens, left, room)
 
-    for waste in range(room + 1):
-        target = room - waste
+    def search(i: int, target: int) -> Iterator[tuple[int, ...]]:
         if not target:
             yield ()
             return
-        for k in range(1, most_pieces + 1):
-            if (reachable(k) >> target) & 1:
-                for f in search(k, target, target, ()):
-                    if not dominated(f, waste, left):
-                        yield f
-        if budget[0] <= 0:
-            break
-    # the enumeration is used up: the best-fit filling
-    have, rest, spare = (), room, Counter(left)
-    for x in lens:
-        while x <= rest and spare[x]:
-            have, rest = (*have, x), rest - x
-            spare[x] -= 1
-    yield have
+        while (reach[i] >> target) & 1:
+            x = lens[i]
+            i += 1
+            for k in range(min(left[x], target // x), 0, -1):
+                if (reach[i] >> (target - k * x)) & 1:
+                    for f in search(i, target - k * x):
+                        yield (x,) * k + f
+
+    for waste in range(room + 1):
+        if (reach[0] >> (room - waste)) & 1:
+            for f in search(0, room - waste):
+                if not dominated(f, waste, left):
+                    yield f
 
 
 def best_fit_decreasing(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -162,7 +155,7 @@ def _descend(counts: Counter, capacity: int, stop: int) -> tuple[list[tuple[tupl
     return plan, left
 
 
-def branch_and_bound(counts: Counter, capacity: int, incumbent: list[tuple[int, ...]], nodes: int = 3000, width: int = 6) -> list[tuple[int, ...]]:
+def branch_and_bound(counts: Counter, capacity: int, incumbent: list[tuple[int, ...]], nodes: int = NODES, width: int = WIDTH) -> list[tuple[int, ...]]:
     """Fewer sequences than the incumbent, if the search finds them: at most ``width`` fillings a node, ``nodes`` in all."""
     best, budget = list(incumbent), [nodes]
     total = sum(x * n for x, n in counts.items())
@@ -181,9 +174,9 @@ def branch_and_bound(counts: Counter, capacity: int, incumbent: list[tuple[int,
             return
         x = max(left)
         rest = left - Counter([x])
-        for k, f in enumerate(fillings(rest, capacity - x, 500)):
+        for f in islice(fillings(rest, capacity - x), width):
             lost = waste + capacity - x - sum(f)
-            if k >= width or lost > (len(best) - 1) * capacity - total:
+            if lost > (len(best) - 1) * capacity - total:
                 return
             search(rest - Counter(f), [*done, (x, *f)], lost)
 
@@ -191,20 +184,25 @@ def branch_and_bound(counts: Counter, capacity: int, incumbent: list[tuple[int,
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 48) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, tails: tuple[int, ...] = TAILS) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths in order, how many sequences)`` that pack all pieces of a histogram."""
     todo = Counter({int(k): int(n) for k, n in counts.items() if n and k < capacity})
     out = [((capacity,), int(counts[capacity]))] if counts.get(capacity) else []
     if not todo:
         return out
-    greedy, left = _descend(todo, capacity, tail)
-    rest, _ = _descend(left, capacity, 0)
-    first = [c for c, n in rest for _ in range(n)]
-    fitted = [c for c, n in best_fit_decreasing(left, capacity) for _ in range(n)]
-    end = branch_and_bound(left, capacity, min(first, fitted, key=len))
-    mine = greedy + [(c, 1) for c in end]
-    other = best_fit_decreasing(todo, capacity)
-    return out + min(mine, other, key=lambda p: sum(n for _, n in p))
+    size = lambda p: sum(n for _, n in p)
+    bound = _bound(todo, capacity)
+    best, _ = _descend(todo, capacity, 0)
+    if size(best) > bound:
+        best = min(best, best_fit_decreasing(todo, capacity), key=size)
+    for tail in tails:
+        if size(best) <= bound:
+            break
+        head, left = _descend(todo, capacity, tail)
+        fitted = [c for c, n in best_fit_decreasing(left, capacity) for _ in range(n)]
+        end = branch_and_bound(left, capacity, fitted)
+        best = min(best, head + [(c, 1) for c in end], key=size)
+    return out + best
 
 
 def intervals(packed: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
