@@ -44,7 +44,7 @@ class Encoder:
     Its splitting pattern starts a new token at a space or line feed that stands between other characters than white
     space, so a text can be cut there and the pieces' ids joined; a mark after letters is cut off too. The library encodes
     the pieces that are not known yet, many in a row, and the ids' byte lengths tell where each piece ends. Texts with
-    white space in other places are encoded whole. Beyond ``max_pieces`` pieces those not met just now are forgotten.
+    white space in other places, or with the string of an added token, are encoded whole. Beyond ``max_pieces`` pieces those not met just now are forgotten.
     """
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES):
@@ -52,7 +52,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.width = np.zeros(self.size, dtype=np.int64)
@@ -139,7 +139,8 @@ class Encoder:
         if group:
             yield from self._encode(group)
 
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _encode(self, given: list[str]) -> Iterator[np.ndarray]:
+        texts = ["" if any(a in t for a in self.added) else t for t in given]
         pieces = ("\n" + "\n".join(texts)).replace("\n", " \n").split(" ")
         del pieces[0]
         if self.n > self.max_pieces:
@@ -150,8 +151,8 @@ class Encoder:
         heads = np.concatenate([[0], ends[:-1]])
         piece = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         whole = np.add.reduceat(self.open[piece].astype(np.int64), heads) > 0
-        for k, t in enumerate(texts):
-            if whole[k]:
+        for k, t in enumerate(given):
+            if whole[k] or t and not texts[k]:
                 yield np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 yield self._gather(piece[heads[k] : ends[k]])[1:]  # without the line feed before the text
