@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scans": secrets.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": substrings.SQL}

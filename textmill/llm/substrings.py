@@ -8,9 +8,9 @@ added (counts stop at two), and what remains is a bit for each cell: counted twi
 underestimates, a window with a clear bit in any row occurs once, and no repeated window is lost.
 
 The second pass groups exactly the windows estimated repeated, by a 96-bit hash of their word sequence, in buckets by
-minimiser. A task keeps only the earliest of the occurrences it sees of a window, the others being repeats already; so a
-passage found everywhere costs one row a task, not one a document. Buckets find the earliest of all; runs of starts that
-are not the earliest go back to their documents.
+minimiser. Of the occurrences that a task sees of a window only the earliest goes there; the others are repeats already, and
+leave as runs of starts in buckets by document. So a passage found everywhere costs a bucket one row a task, not one a
+document. Buckets find the earliest of all; runs of starts that are not the earliest go back to their documents.
 
 The sketch has about four cells for each expected place, at most ``2**MAX_CELLS_LOG2`` a row; beyond that more windows
 reach the exact pass, and the result stays the same. It is the only thing that is broadcast, at most 64 MB.
@@ -197,13 +197,19 @@ def _often(grams: np.ndarray, log2: int, bitmaps: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _runs(starts: np.ndarray) -> bytes:
-    """Sorted starts as pairs of first and length."""
-    first = np.flatnonzero(np.concatenate([[True], np.diff(starts) > 1]))
-    return np.stack([starts[first], np.diff(first, append=len(starts))], axis=1).astype("<u4").tobytes()
+_BUCKET = "bucket int, h64 binary, h32 binary, doc binary, pos binary, ids binary, keys binary, runs binary, n_runs binary"
 
 
-_BUCKET = "bucket int, h64 binary, h32 binary, doc binary, pos binary, later_doc binary, later_pos binary, ids binary, keys binary"
+def _packed_runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Distinct documents, the runs of their starts one after the other, and how many runs each has."""
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (np.diff(p) > 1)])
+    same = np.concatenate([[False], (d[1:] == d[:-1]) & (p[1:] == p[:-1])])
+    first = np.flatnonzero(new & ~same)
+    length = np.add.reduceat((~same).astype(np.int64), first)
+    who, n = np.unique(d[first], return_counts=True)
+    return who, np.stack([p[first], length], axis=1).astype("<u4").tobytes(), n
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
@@ -220,19 +226,26 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
         later = (ids[d] != ids[d[head]]) | (p != p[head])  # of equal ids and starts none is later
-        bucket = (_mix(g, _SECOND) % np.uint64(buckets)).astype(np.int32)
+        out = []
+        x = np.flatnonzero(~later)
+        bucket = (_mix(g[x], _SECOND) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
         for b in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[b] : edges[b + 1]]
+            rows = x[order[edges[b] : edges[b + 1]]]
             who, local = np.unique(d[rows], return_inverse=True)
-            local = local.astype("<u4")
-            x, y = rows[~later[rows]], rows[later[rows]]
             out.append((
-                int(b), h[x].tobytes(), s[x].tobytes(), zlib.compress(local[~later[rows]].tobytes(), 1), zlib.compress(p[x].astype("<u4").tobytes(), 1),
-                zlib.compress(local[later[rows]].tobytes(), 1), zlib.compress(p[y].astype("<u4").tobytes(), 1), ids[who].tobytes(), keys[who].tobytes(),
+                int(b), h[rows].tobytes(), s[rows].tobytes(), zlib.compress(local.astype("<u4").tobytes(), 1), zlib.compress(p[rows].astype("<u4").tobytes(), 1), ids[who].tobytes(), keys[who].tobytes(), b"", b"",
             ))
+        if later.any():
+            who, runs, n = _packed_runs(d[later], p[later])
+            bucket = (_mix(keys[who].view(np.uint64) ^ ids[who].view(np.uint64), _M) % np.uint64(buckets)).astype(np.int32)
+            each = np.split(np.frombuffer(runs, dtype="<u8"), np.cumsum(n)[:-1])
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)):
+                rows = order[edges[b] : edges[b + 1]]
+                out.append((int(b), b"", b"", b"", b"", ids[who[rows]].tobytes(), keys[who[rows]].tobytes(), b"".join(each[k].tobytes() for k in rows), n[rows].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _BUCKET.split(", ")])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,25 +286,34 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
             yield emit(h, g, s, d, p, np.concatenate(ids), np.concatenate(keys))
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
-        raw = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in part[name]]
-        small = lambda name: [np.frombuffer(zlib.decompress(x), dtype="<u4").astype(np.int64) for x in part[name]]
-        ids, keys = raw("ids", np.int64), raw("keys", np.int64)
-        base = np.cumsum([0] + [len(x) for x in ids])
-        ids, keys = np.concatenate(ids), np.concatenate(keys)
-        h, s, p = np.concatenate(raw("h64", np.uint64)), np.concatenate(raw("h32", np.uint32)), np.concatenate(small("pos"))
-        d = np.concatenate([x + b for x, b in zip(small("doc"), base, strict=False)])
-        order = np.lexsort((p, ids[d], s, h))
-        h, s, d, p = h[order], s[order], d[order], p[order]
-        same = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])[: len(h)]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else np.zeros(0, dtype=np.int64)
-        later = (ids[d] != ids[d[head]]) | (p != p[head])
-        ld = np.concatenate([d[later], *(x + b for x, b in zip(small("later_doc"), base, strict=False))])
-        lp = np.concatenate([p[later], *small("later_pos")])
-        order = np.lexsort((lp, ld))
-        ld, lp = ld[order], lp[order]
-        edges = np.flatnonzero(np.diff(ld, prepend=-1, append=-2))
-        out = [(None if ids[ld[a]] == _NONE else int(ids[ld[a]]), int(keys[ld[a]]), _runs(lp[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "key": [x[1] for x in out], "runs": [x[2] for x in out]})
+        found: list[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]] = []
+        told = part[part["n_runs"].str.len() > 0]
+        for m in told.itertuples():
+            found.append((np.frombuffer(m.ids, dtype=np.int64), np.frombuffer(m.keys, dtype=np.int64), m.runs, np.frombuffer(m.n_runs, dtype="<u4")))
+        part = part[part["n_runs"].str.len() == 0]
+        if len(part):
+            raw = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in part[name]]
+            small = lambda name: [np.frombuffer(zlib.decompress(x), dtype="<u4").astype(np.int64) for x in part[name]]
+            ids, keys = raw("ids", np.int64), raw("keys", np.int64)
+            base = np.cumsum([0] + [len(x) for x in ids])
+            ids, keys = np.concatenate(ids), np.concatenate(keys)
+            h, s, p = np.concatenate(raw("h64", np.uint64)), np.concatenate(raw("h32", np.uint32)), np.concatenate(small("pos"))
+            d = np.concatenate([x + b for x, b in zip(small("doc"), base, strict=False)])
+            order = np.lexsort((p, ids[d], s, h))
+            h, s, d, p = h[order], s[order], d[order], p[order]
+            same = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+            later = (ids[d] != ids[d[head]]) | (p != p[head])
+            if later.any():
+                who, runs, n = _packed_runs(d[later], p[later])
+                found.append((ids[who], keys[who], runs, n))
+        out: dict[str, list] = {"doc_id": [], "key": [], "runs": []}
+        for ids, keys, runs, n in found:
+            ends = 8 * np.cumsum(n, dtype=np.int64)
+            out["doc_id"] += [None if i == _NONE else i for i in ids.tolist()]
+            out["key"] += keys.tolist()
+            out["runs"] += [runs[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "key": np.array(out["key"], dtype=np.int64), "runs": pd.Series(out["runs"], dtype=object)})
 
     rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(col(text_col)).alias("k"), col(text_col).alias("t"))
     return rows.mapInPandas(find, _BUCKET).groupBy("bucket").applyInPandas(settle, "doc_id long, key long, runs binary")
@@ -332,6 +354,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = """
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM split),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS k, ws FROM split WHERE len(ws) >= 20),
+ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, k) AS r FROM starts),
+marked AS (SELECT w.doc_id, w.k, w.word, max(CASE WHEN r.r > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM words w LEFT JOIN ranked r ON w.doc_id = r.doc_id AND w.k = r.k),
+per AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.n_words, 0)::BIGINT AS n_words, coalesce(p.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id"""
+
+
 def plain(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
     """The same by brute force, for tests: ids are distinct."""
     seen: set[tuple[bytes, ...]] = set()
