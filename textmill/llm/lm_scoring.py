@@ -6,16 +6,16 @@ until the filter says no: it never says too little, and too much by ``r`` levels
 error rate to the power ``r``. The model is a bigram model with Dirichlet smoothing,
 ``p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu)``, all counts from such probes.
 
-One pass over the texts sends each chunk's distinct words and pairs, with counts, to buckets by hash (packed, not a row for
-each word; a frequent word costs one entry a chunk). A bucket adds them up, builds its part of the filter, and answers
-with each document's sum of ``log10(c + 0.5)`` over its words there; the sums meet by chunk. So exact unigram counts need
-no broadcast. The filter, ``BITS`` bits an entry, grows with the corpus and holds every n-gram. Up to ``max_bits`` it is
-broadcast; beyond that it stays in its parts, each chunk's distinct words and pairs are sent to the buckets that hold them,
-and the levels found there meet by chunk. Both ways give the same scores.
+One pass over the texts makes chunks of them. A chunk's distinct words and pairs, with counts, go to buckets by hash (packed,
+not a row for each word; a frequent word costs one entry a chunk, in every bucket and at every size). There is a bucket for
+every ``BUCKET_BYTES`` of text. A bucket adds up, builds its part of the filter, and answers with the exact counts of each
+chunk's words; answers and the chunk's tokens (places in its list of words) meet by chunk, where documents are scored. So
+exact unigram counts need no broadcast, and texts are split once. The filter, ``BITS`` bits an entry, grows with the corpus
+and holds every n-gram. Up to ``max_bits`` it is broadcast; beyond that it stays in its parts, each chunk's distinct words and
+pairs are sent to the buckets that hold them, and the levels found there meet by chunk. Both ways give the same scores.
 
 Edge cases: a null or empty text is the end token alone; without training rows all counts are zero; an empty table gives
-an empty table; rows with equal ids are told apart by their text, and identical rows get the same scores each; a null id
-hashes as the empty string; other columns are ignored.
+an empty table; rows with equal ids are scored each by itself; a null id hashes as the empty string; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textmill.llm.common import col, materialize
 
 BITS, PROBES, MAX_BITS, MU = 6, 4, 1 << 30, 200.0
-_CHUNK_WORDS = 1_200_000
+_CHUNK_WORDS, BUCKET_BYTES = 800_000, 16 << 20
 _BLOCK = 1 << 27
 _M, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = xxhash.xxh3_64_intdigest(b"\n")  # a line feed is in no word
@@ -56,22 +56,21 @@ def pairs(w: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return _mix(before * _M + _mix(w))
 
 
-def _docs(batches: Iterator[pd.DataFrame], words: int = _CHUNK_WORDS) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
-    """Chunks of documents: ids, text keys, tokens of all (ends included), number of tokens of each."""
-    ids, keys, parts, size = [], [], [], 0
+def _docs(batches: Iterator[pd.DataFrame], words: int = _CHUNK_WORDS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Chunks of documents: ids, tokens of all (ends included), number of tokens of each."""
+    ids, parts, size = [], [], 0
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        for i, k, t in zip(batch["i"], batch["k"], batch["t"], strict=True):
+        for i, t in zip(batch["i"], batch["t"], strict=True):
             w = t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else []
             ids.append(i)
-            keys.append(k)
             parts.append(np.fromiter(map(digest, w), dtype=np.uint64, count=len(w)))
             size += len(w)
             if size > words:
-                yield ids, keys, *_join(parts)
-                ids, keys, parts, size = [], [], [], 0
+                yield ids, *_join(parts)
+                ids, parts, size = [], [], 0
     if ids:
-        yield ids, keys, *_join(parts)
+        yield ids, *_join(parts)
 
 
 def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +138,13 @@ def segment(h: np.ndarray, counts: np.ndarray, block: int = _BLOCK) -> bytes:
 class Filter:
     """The filter's parts, one after the other, each for an even share of the hashes."""
 
-    def __init__(self, parts: list[bytes]):
-        self.n = len(parts)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    def __init__(self, parts: list[bytes] | tuple[np.ndarray, bytes]):
+        """``parts``, or their sizes and the whole, which is then not copied."""
+        sizes, whole = parts if isinstance(parts, tuple) else (np.array([len(p) for p in parts], dtype=np.int64), b"".join(parts))
+        self.n = len(sizes)
         self.base = (np.cumsum(sizes) - sizes).astype(np.uint64) * np.uint64(8)
         self.size = (sizes * 8).astype(np.uint64)
-        self.bits = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.bits = np.frombuffer(whole, dtype=np.uint8)
 
     def level(self, h: np.ndarray, dealt_by: np.ndarray | None = None) -> np.ndarray:
         """The highest level up to which the filter holds each n-gram; each probe is made for those only that still pass."""
@@ -170,11 +170,10 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_SENT = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
-_COLUMNS = ["bucket", "kind", "chunk", "a", "b", "c", "d", "e"]
-_SCORED = "doc_id long, key long, score double"
-_GOT = "bucket int, kind int, chunk long, a binary, b binary, c binary"
-_WORDS, _PAIRS, _META, _PART, _STATS = 0, 1, 2, 3, 4
+_ROW = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary"
+_COLUMNS = ["bucket", "kind", "chunk", "a", "b", "c", "d"]
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_WORDS, _PAIRS, _META, _STATS = 0, 1, 2, 3
 
 
 def _ids_bytes(ids: list) -> bytes:
@@ -187,93 +186,59 @@ def _ids_from(b: bytes, k: int) -> pd.Series:
     return pd.Series(ids, dtype="Int64").mask(pd.Series(null))
 
 
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets that have some of the sorted hashes, and where."""
+    edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        yield b, slice(edge[b], edge[b + 1])
+
+
 def _send(buckets: int, hold_out: int, folds: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        for ids, keys, w, sizes in _docs(batches):
-            out = []
-            n = len(ids)
-            doc = np.repeat(np.arange(n), sizes)
+        for ids, w, sizes in _docs(batches):
             train = np.repeat(np.array([remainder(i, folds) != hold_out for i in ids]), sizes)
             u, inv = np.unique(w, return_inverse=True)
             counts = np.bincount(inv[train], minlength=len(u))
-            cell, tf = np.unique(inv * n + doc, return_counts=True)
-            row, who = cell // n, cell % n
-            edge = np.searchsorted(bucket_of(u, buckets), np.arange(buckets + 1))
-            at = np.searchsorted(row, edge)
-            for b in range(buckets):
-                lo, hi = edge[b], edge[b + 1]
-                if lo < hi:
-                    r = row[at[b] : at[b + 1]]
-                    per = np.bincount(r - lo, minlength=hi - lo)
-                    first = np.diff(r, prepend=-1) > 0
-                    d = who[at[b] : at[b + 1]]
-                    step = np.where(first, d, np.diff(d, prepend=0))
-                    out.append((b, _WORDS, chunk, _sorted_bytes(u[lo:hi]), _z(counts[lo:hi], "<u4"), _z(per, "<u4"), _z(step, "<u4"), _z(tf[at[b] : at[b + 1]], "<u4")))
-            two, n_two = np.unique(pairs(w, np.cumsum(sizes) - sizes)[train], return_counts=True)
-            edge = np.searchsorted(bucket_of(two, buckets), np.arange(buckets + 1))
-            for b in range(buckets):
-                lo, hi = edge[b], edge[b + 1]
-                if lo < hi:
-                    out.append((b, _PAIRS, chunk, _sorted_bytes(two[lo:hi]), _z(n_two[lo:hi], "<u4"), None, None, None))
-            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), np.array(keys, dtype="<i8").tobytes(), sizes.astype("<i8").tobytes(), None, None))
+            out = [(b, _WORDS, chunk, _sorted_bytes(u[at]), _z(counts[at], "<u4"), None, None) for b, at in _dealt(u, buckets)]
+            two, n_two = np.unique(pairs(w, _firsts(sizes))[train], return_counts=True)
+            out += [(b, _PAIRS, chunk, _sorted_bytes(two[at]), _z(n_two[at], "<u4"), None, None) for b, at in _dealt(two, buckets)]
+            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), sizes.astype("<i8").tobytes(), _sorted_bytes(u), _z(inv, "<u4")))
             yield pd.DataFrame(out, columns=_COLUMNS)
             chunk += 1
 
     return send
 
 
-def _settle():
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        b = int(part["bucket"].iloc[0])
-        out = [(b, _META, m.chunk, m.a, m.b, m.c) for m in part[part["kind"] == _META].itertuples()]
-        words = part[part["kind"] == _WORDS]
-        have = [_sorted_from(x) for x in words["a"]]
-        u, inv = np.unique(np.concatenate([*have, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-        counts = np.bincount(inv, weights=np.concatenate([*(_unz(x, "<u4") for x in words["b"]), np.zeros(0)]), minlength=len(u))
-        lo = 0
-        for h, m in zip(have, words.itertuples(), strict=True):
-            c = counts[inv[lo : lo + len(h)]]
-            lo += len(h)
-            per, step, tf = _unz(m.c, "<u4").astype(np.int64), _unz(m.d, "<u4").astype(np.int64), _unz(m.e, "<u4").astype(float)
-            total = np.cumsum(step)
-            first = np.cumsum(per) - per
-            doc = total - np.repeat(total[first] - step[first], per)
-            c = np.repeat(c, per)
-            n = int(doc.max()) + 1
-            out.append((b, _PART, m.chunk, np.bincount(doc, tf * np.log10(c + 0.5), n).astype("<f8").tobytes(), np.bincount(doc, tf * (c > 0), n).astype("<i8").tobytes(), None))
-        two = part[part["kind"] == _PAIRS]
-        h = np.concatenate([*(_sorted_from(x) for x in two["a"]), np.zeros(0, dtype=np.uint64)])
-        n2 = np.concatenate([*(_unz(x, "<u4") for x in two["b"]), np.zeros(0, dtype="<u4")])
-        order = np.argsort(h, kind="stable")
-        h, n2 = h[order], n2[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-        h, n2 = h[first], np.add.reduceat(n2, first) if len(first) else n2
-        seen = counts > 0
-        stats = np.array([counts.sum(), seen.sum(), len(h)], dtype="<i8")
-        out.append((b, _STATS, 0, stats.tobytes(), segment(np.concatenate([_mix(u[seen]), h]), np.concatenate([counts[seen], n2])), None))
-        return pd.DataFrame(out, columns=["bucket", "kind", "chunk", "a", "b", "c"])
-
-    return settle
-
-
-def _add_up(n: int, v: int):
-    cost = np.log10(n + 0.5 * (v + 1))
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        meta = part[part["kind"] == _META].iloc[0]
-        keys, sizes = np.frombuffer(meta["b"], dtype="<i8"), np.frombuffer(meta["c"], dtype="<i8")
-        k = len(keys)
-        sums, known = np.zeros(k), np.zeros(k, dtype=np.int64)
-        for m in part[part["kind"] == _PART].sort_values("bucket").itertuples():
-            x, y = np.frombuffer(m.a, dtype="<f8"), np.frombuffer(m.b, dtype="<i8")
-            sums[: len(x)] += x
-            known[: len(y)] += y
-        return pd.DataFrame({"doc_id": _ids_from(meta["a"], k), "key": keys, "n_tokens": sizes, "n_known": known, "base_score": sums - sizes * cost})
-
-    return add
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    """Adds up a bucket: answers to its words by chunk, statistics and the bucket's part of the filter; the rest passes through."""
+    b = int(part["bucket"].iloc[0])
+    out = [tuple(m) for m in part[part["kind"] == _META].itertuples(index=False)]
+    words = part[part["kind"] == _WORDS]
+    have = [_sorted_from(x) for x in words["a"]]
+    u, inv = np.unique(np.concatenate([*have, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    counts = np.bincount(inv, weights=np.concatenate([*(_unz(x, "<u4") for x in words["b"]), np.zeros(0)]), minlength=len(u))
+    lo = 0
+    for chunk, h in zip(words["chunk"].tolist(), have, strict=True):
+        out.append((b, _WORDS, chunk, _z(counts[inv[lo : lo + len(h)]], "<u8"), None, None, None))
+        lo += len(h)
+    two = part[part["kind"] == _PAIRS]
+    h = np.concatenate([*(_sorted_from(x) for x in two["a"]), np.zeros(0, dtype=np.uint64)])
+    n2 = np.concatenate([*(_unz(x, "<u4") for x in two["b"]), np.zeros(0, dtype="<u4")])
+    order = np.argsort(h, kind="stable")
+    h, n2 = h[order], n2[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    h, n2 = h[first], np.add.reduceat(n2, first) if len(first) else n2
+    seen = counts > 0
+    stats = np.array([counts.sum(), seen.sum(), len(h)], dtype="<i8")
+    out.append((b, _STATS, 0, stats.tobytes(), segment(np.concatenate([_mix(u[seen]), h]), np.concatenate([counts[seen], n2])), None, None))
+    return pd.DataFrame(out, columns=_COLUMNS)
 
 
 def _sums(one: np.ndarray, inv: np.ndarray, two: np.ndarray, sizes: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
@@ -281,7 +246,7 @@ def _sums(one: np.ndarray, inv: np.ndarray, two: np.ndarray, sizes: np.ndarray,
     c1 = _value(one)
     p1 = ((c1 + 0.5) / (n + 0.5 * (v + 1)))[inv]
     c1 = c1[inv]
-    firsts = np.cumsum(sizes) - sizes
+    firsts = _firsts(sizes)
     before = np.empty_like(c1)
     before[1:] = c1[:-1]
     before[firsts] = c1[sizes[0] - 1]  # a document's last token is the end token
@@ -289,21 +254,43 @@ def _sums(one: np.ndarray, inv: np.ndarray, two: np.ndarray, sizes: np.ndarray,
     return np.add.reduceat(np.log10((c2 + mu * np.minimum(p1, 1.0)) / (before + mu)), firsts)
 
 
+def _of_kind(part: pd.DataFrame, kind: int, column: str, of: str) -> np.ndarray:
+    """A chunk's answers of a kind: hashes are sorted, so buckets in order give them in order."""
+    return np.concatenate([_unz(x, of) for x in part[part["kind"] == kind].sort_values("bucket")[column]])
+
+
+def _scores(meta, counts: np.ndarray, score: np.ndarray, inv: np.ndarray, sizes: np.ndarray, n: int, v: int) -> pd.DataFrame:
+    each, firsts = counts[inv], _firsts(sizes)
+    base = np.add.reduceat(np.log10(each + 0.5), firsts) - sizes * np.log10(n + 0.5 * (v + 1))
+    return pd.DataFrame({"doc_id": _ids_from(meta["a"], len(sizes)), "n_tokens": sizes, "n_known": np.add.reduceat((each > 0).astype(np.int64), firsts), "base_score": base, "score": score})
+
+
+def _by_broadcast(got: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
+    # at most max_bits / 8 bytes
+    known = {r["bucket"]: bytes(r["b"]) for r in parts.select("bucket", "b").collect()}
+    held = [known.pop(b, bytes(8)) for b in range(buckets)]
+    shared = got.sparkSession.sparkContext.broadcast((np.array([len(p) for p in held], dtype=np.int64), b"".join(held)))
+    del held
+
+    def model(part: pd.DataFrame) -> pd.DataFrame:
+        meta = part[part["kind"] == _META].iloc[0]
+        f = Filter(shared.value)
+        sizes, u, inv = np.frombuffer(meta["b"], dtype="<i8"), _sorted_from(meta["c"]), _unz(meta["d"], "<u4")
+        two, at = np.unique(pairs(u[inv], _firsts(sizes)), return_inverse=True)
+        score = _sums(f.level(_mix(u), u), inv, f.level(two)[at], sizes, n, v, mu)
+        return _scores(meta, _of_kind(part, _WORDS, "a", "<u8").astype(float), score, inv, sizes, n, v)
+
+    return got.where(F.col("kind").isin(_META, _WORDS)).groupBy("chunk").applyInPandas(model, _SCORED)
+
+
 def _ask(buckets: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        chunk = TaskContext.get().partitionId() << 32
-        for ids, keys, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
-            u, inv = np.unique(w, return_inverse=True)
-            two, inv_two = np.unique(pairs(w, np.cumsum(sizes) - sizes), return_inverse=True)
-            out = []
-            for kind, h in ((_WORDS, u), (_PAIRS, two)):
-                edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                out += [(b, kind, chunk, _sorted_bytes(h[edge[b] : edge[b + 1]]), None, None, None, None) for b in range(buckets) if edge[b] < edge[b + 1]]
-            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), np.array(keys, dtype="<i8").tobytes(), sizes.astype("<i8").tobytes(), _z(inv, "<u4"), _z(inv_two, "<u4")))
-            yield pd.DataFrame(out, columns=_COLUMNS)
-            chunk += 1
+        for batch in batches:
+            for m in batch.itertuples(index=False):
+                u, sizes = _sorted_from(m.c), np.frombuffer(m.b, dtype="<i8")
+                two, at = np.unique(pairs(u[_unz(m.d, "<u4")], _firsts(sizes)), return_inverse=True)
+                out = [(b, kind, m.chunk, _sorted_bytes(h[s]), None, None, None) for kind, h in ((_WORDS, u), (_PAIRS, two)) for b, s in _dealt(h, buckets)]
+                yield pd.DataFrame([*out, (m.bucket, _META, m.chunk, m.a, m.b, _z(at, "<u4"), m.d)], columns=_COLUMNS)
 
     return ask
 
@@ -321,65 +308,42 @@ def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 h = _sorted_from(m.a)
                 got = f.level(_mix(h) if m.kind == _WORDS else h) if m.bucket == at else np.zeros(len(h))
-                out.append((m.bucket, m.kind, m.chunk, _z(got, "u1"), None, None, None, None))
+                out.append((m.bucket, m.kind, m.chunk, None, _z(got, "u1"), None, None))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def _meet(n: int, v: int, mu: float):
+def _by_parts(got: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    asked = got.where(F.col("kind") == _META).mapInPandas(_ask(buckets), _ROW)
+    held = parts.select("bucket", "kind", "chunk", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
+    dealt = asked.unionByName(held).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))  # _STATS is the highest kind
+    counts = got.where(F.col("kind") == _WORDS).withColumn("kind", F.lit(_STATS))
+
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         meta = part[part["kind"] == _META].iloc[0]
-        keys, sizes = np.frombuffer(meta["b"], dtype="<i8"), np.frombuffer(meta["c"], dtype="<i8")
-        # hashes are sorted, so buckets in order give their levels in order
-        one, two = (np.concatenate([_unz(x, "u1") for x in part[part["kind"] == kind].sort_values("bucket")["a"]]).astype(np.int64) for kind in (_WORDS, _PAIRS))
-        sums = _sums(one, _unz(meta["d"], "<u4"), two[_unz(meta["e"], "<u4")], sizes, n, v, mu)
-        return pd.DataFrame({"doc_id": _ids_from(meta["a"], len(keys)), "key": keys, "score": sums})
-
-    return meet
-
-
-def _by_broadcast(rows: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
-    # at most max_bits / 8 bytes
-    known = {r["bucket"]: r["b"] for r in parts.select("bucket", "b").collect()}
-    shared = rows.sparkSession.sparkContext.broadcast([known.get(b, bytes(8)) for b in range(buckets)])
-    del known
-
-    def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = None
-        for ids, keys, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
-            f = f or Filter(shared.value)
-            u, inv = np.unique(w, return_inverse=True)
-            sums = _sums(f.level(_mix(u), u), inv, f.level(pairs(w, np.cumsum(sizes) - sizes)), sizes, n, v, mu)
-            yield pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64"), "key": keys, "score": sums})
+        sizes, inv = np.frombuffer(meta["b"], dtype="<i8"), _unz(meta["d"], "<u4")
+        one, two = (_of_kind(part, kind, "b", "u1").astype(np.int64) for kind in (_WORDS, _PAIRS))
+        score = _sums(one, inv, two[_unz(meta["c"], "<u4")], sizes, n, v, mu)
+        return _scores(meta, _of_kind(part, _STATS, "a", "<u8").astype(float), score, inv, sizes, n, v)
 
-    return rows.mapInPandas(model, _SCORED)
+    return dealt.mapInPandas(_answer, _ROW).unionByName(counts).groupBy("chunk").applyInPandas(meet, _SCORED)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 1, folds: int = 5, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark = docs.sparkSession
-    rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("k"), col(text_col).alias("t"))
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = rows.mapInPandas(_send(buckets, hold_out, folds), _SENT).groupBy("bucket").applyInPandas(_settle(), _GOT)
+    rows = docs.select(col(id_col).cast("long").alias("i"), col(text_col).alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    got = rows.mapInPandas(_send(buckets, hold_out, folds), _ROW).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle, _ROW)
     got = materialize(got, "lm")
     parts = got.where(F.col("kind") == _STATS)
     # three numbers and a size a bucket
     stats = [(np.frombuffer(r["a"], dtype="<i8"), r["size"]) for r in parts.select("a", F.length("b").cast("long").alias("size")).collect()]
     n, v = (int(sum(p[0][j] for p in stats)) for j in (0, 1))
-    if sum(p[1] for p in stats) * 8 <= max_bits:
-        mine = _by_broadcast(rows, parts, buckets, n, v, mu)
-    else:
-        asked = rows.mapInPandas(_ask(buckets), _SENT)
-        none = F.lit(None).cast("binary")
-        held = parts.select("bucket", "kind", "chunk", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"), none.alias("e"))
-        dealt = asked.unionByName(held).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))  # _STATS is the highest kind
-        mine = dealt.mapInPandas(_answer, _SENT).groupBy("chunk").applyInPandas(_meet(n, v, mu), _SCORED)
-    mine = mine.alias("m")
-
-    base = got.where(F.col("kind").isin(_META, _PART)).groupBy("chunk").applyInPandas(_add_up(n, v), "doc_id long, key long, n_tokens long, n_known long, base_score double")
-    base = base.dropDuplicates(["doc_id", "key"])
-    both = mine.join(base.alias("b"), F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.key") == F.col("b.key")))
-    held = F.crc32(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("")).cast("binary")) % folds == hold_out
-    return both.select("m.doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    mine = (_by_broadcast if sum(p[1] for p in stats) * 8 <= max_bits else _by_parts)(got, parts, buckets, n, v, mu)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == hold_out
+    return mine.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
