@@ -135,10 +135,16 @@ def text_p(token: str, alphabet: str) -> float:
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
     """``(start, end, stratum, bin)`` of random-looking runs outside ``taken``; bin is the floor of minus log2 of the p-value."""
     out = []
+    ends = [0]  # ends[k]: where the first k spans, by start, are all over
+    for _, _, e in taken:
+        ends.append(max(ends[-1], e))
+    before = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
+        while before < len(taken) and taken[before][1] < b:
+            before += 1
         core = m.group().rstrip("=")
-        if core.isalpha() and (core.islower() or core.isupper() or core.istitle()) or any(s < b and a < e for _, s, e in taken):
+        if core.isalpha() and (core.islower() or core.isupper() or core.istitle()) or ends[before] > a:
             continue
         found = infer(core)
         if found is None:
