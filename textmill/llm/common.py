@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="textmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    global _own
+    _own = _own or "file://" + tempfile.mkdtemp(prefix="textmill-")
+    return _own
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -70,34 +76,33 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: ``(node, component)``, component being the smallest node reachable.
 
-    Every round hooks each node to the smallest of itself and its neighbours and contracts the graph along these hooks, so
-    that the set of nodes shrinks; rounds are cut by tables in the shared folder. Only rows are shuffled, nothing is
-    collected but a row count. Nodes without an edge are not returned; an empty graph gives an empty table. Loops and
-    repeated edges are harmless.
+    Randomised contraction: in every round nodes are put in a new order by hash, each hooks to the first of itself and its
+    neighbours, and the graph is contracted along these hooks. Whatever the shape of the graph, chains included, a round is
+    expected to leave at most three quarters of the nodes, so the rounds grow with the logarithm of the largest component, and
+    their number is not limited. Then the rounds' hooks are put together from the last to the first; tables of ever fewer
+    rows in the shared folder cut the lineage. Only rows are shuffled. Nodes without an edge are not returned; an empty graph
+    gives an empty table. Loops and repeated edges are harmless.
     """
-    e = edges.select(col(a).alias("a"), col(b).alias("b")).where("a <> b").distinct()
+    e = edges.select(F.least(col(a), col(b)).alias("a"), F.greatest(col(a), col(b)).alias("b")).where("a <> b").distinct()
     e = materialize(e, "edges")
-    labels = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hook = materialize(hook, "hooks")
-        if labels is None:
-            labels = hook.select(F.col("a").alias("node"), F.col("m").alias("component"))
-        else:
-            labels = labels.join(hook, labels["component"] == hook["a"], "left").select("node", F.coalesce("m", "component").alias("component"))
-        labels = materialize(labels, "labels")
-        left = hook.select(F.col("a"), F.col("m").alias("x"))
-        right = hook.select(F.col("a").alias("b"), F.col("m").alias("y"))
+    hooks: list[DataFrame] = []
+    while not e.isEmpty():
+        turn = F.lit(len(hooks))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("h", F.xxhash64("b", turn))
+        first = both.groupBy("a").agg(F.min("h").alias("h"), F.min_by("b", "h").alias("b"))
+        hook = materialize(first.select("a", F.when(F.xxhash64("a", turn) <= F.col("h"), F.col("a")).otherwise(F.col("b")).alias("m")), "hooks")
+        hooks.append(hook)
+        left, right = hook.select("a", F.col("m").alias("x")), hook.select(F.col("a").alias("b"), F.col("m").alias("y"))
         e = e.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         e = materialize(e, "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if labels is None:
+    if not hooks:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    labels = hooks.pop()
+    while hooks:
+        later = labels.select(F.col("a").alias("m"), F.col("m").alias("r"))
+        labels = materialize(hooks.pop().join(later, "m", "left").select("a", F.coalesce("r", "m").alias("m")), "labels")
+    least = labels.groupBy("m").agg(F.min("a").alias("component"))
+    return labels.join(least, "m").select(F.col("a").alias("node"), "component")

@@ -153,10 +153,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
 
 def _label(prints: DataFrame, radius: int) -> DataFrame:
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    labels = components(links(reps, radius))
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(materialize(named, "simhash-classes"), "fp")  # a hot fingerprint is a skewed join, which is split
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps")
+    labels = components(links(reps.select("fp", F.col("fp").alias("rep")), radius))
+    named = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    named = materialize(named, "simhash-classes")
+    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    # a hot fingerprint is a skewed join, which is split
+    return prints.join(named.join(least, "class").select("fp", "component_id"), "fp")
 
 
 # --- near copies by shingle similarity ------------------------------------------------------------------------------
