@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from textmill.config import ArgumentError, Budget, BudgetError, ConfigError, InputError, Options, load
+from textmill.config import ArgumentError, Budget, BudgetError, ConfigError, InputError, Options, default_config_path, load
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--preserve-tail", type=int, default=0)
     p.add_argument("--stats", action="store_true", help="statistics on standard error")
     p.add_argument("--tokenizer", choices=("openai", "anthropic", "approximate"))
+    p.add_argument("--vocabulary", help="rank file for the openai tokenizer; its own vocabulary is fetched once if left out")
     for name in ("aggressive", "conservative", "no-redundancy", "no-boilerplate", "no-extractive", "preserve-code", "semantic"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--config", help="TOML file")
@@ -30,7 +31,10 @@ def options_from(args: argparse.Namespace) -> Options:
     """Configuration first, then what the command line says; a budget beats a model."""
     from dataclasses import replace
 
-    o = load(args.config, Options(compat=args.compat))
+    path = args.config
+    if path is None and (usual := default_config_path()) and usual.exists():
+        path = str(usual)
+    o = load(path, Options(compat=args.compat))
     if not args.budget and not args.model and o.budget == Budget():
         raise ArgumentError("a budget or a model is needed")
     if args.reserve > 0 and not args.model:
@@ -42,7 +46,7 @@ def options_from(args: argparse.Namespace) -> Options:
     elif args.model:
         o = replace(o, budget=Budget(model=args.model, reserve=args.reserve))
     return replace(
-        o, head=args.preserve_head, tail=args.preserve_tail, tokenizer=args.tokenizer or o.tokenizer, aggressive=args.aggressive, conservative=args.conservative,
+        o, head=args.preserve_head, tail=args.preserve_tail, tokenizer=args.tokenizer or o.tokenizer, vocabulary=args.vocabulary or o.vocabulary, aggressive=args.aggressive, conservative=args.conservative,
         redundancy=o.redundancy and not args.no_redundancy, boilerplate=o.boilerplate and not args.no_boilerplate, extractive=o.extractive and not args.no_extractive,
         preserve_code=args.preserve_code, mode="semantic" if args.semantic else o.mode,
     )
@@ -50,8 +54,9 @@ def options_from(args: argparse.Namespace) -> Options:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     """Exit codes: 1 input, 2 arguments, 3 budget or model, 4 configuration."""
-    from textmill.plans.pipeline import compress
     from textmill.operators import stats
+    from textmill.plans.pipeline import compress
+    from textmill.progress import on_terminal
     from textmill.sources.contexts import from_text, read_one
 
     args = parser().parse_args(argv)
@@ -62,7 +67,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-        done = compress(from_text(spark, text), options)
+        done = compress(from_text(spark, text), options, on_terminal(len(text.split())))
         row = done.results.first()
         if row["status"] == "budget_error":
             raise ConfigError("the budget can't hold what is preserved")
@@ -71,6 +76,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             sys.stderr.write(stats.report(done.stats).first()["report"])
         for w in done.warnings.orderBy("seg_idx").collect():  # of one text
             sys.stderr.write(f"warning: {w['kind']}: {w['preview']}\n")
+        done.release()
     except (InputError, ArgumentError, BudgetError, ConfigError) as e:
         sys.stderr.write(f"error: {e}\n")
         return e.code

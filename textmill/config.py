@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field, replace
@@ -40,13 +41,14 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Budget:
-    """One of: tokens, a share of the whole text's tokens, a model's window less a reserve; or a column with a number for each row."""
+    """One of: tokens, a share of the whole text's tokens, a model's window less a reserve; or a column with a number, or with a model, for each row."""
 
     tokens: int | None = None
     share: float | None = None
     model: str | None = None
     reserve: int = 0
     column: str | None = None
+    model_column: str | None = None
 
     @staticmethod
     def parse(text: str) -> Budget:
@@ -114,7 +116,9 @@ class Options:
     budget: Budget = field(default_factory=Budget)
     mode: str = "paragraph"  # paragraph, sentence, line, semantic
     preserve_code: bool = False
-    tokenizer: str = "approximate"
+    tokenizer: str | None = None  # left out: approximate, in reference compatibility openai
+    vocabulary: str | None = None  # rank file for openai; left out: the library's own, which it fetches once
+    vocabulary_pattern: str | None = None
     thresholds: Thresholds = field(default_factory=Thresholds)
     redundancy: bool = True
     boilerplate: bool = True
@@ -125,25 +129,39 @@ class Options:
     conservative: bool = False
     boilerplate_patterns: tuple[str, ...] = ()
     preserve_patterns: tuple[str, ...] = ()
-    similarity: str = "jaccard"  # or minhash
+    similarity: str | None = None  # jaccard or minhash; left out: jaccard, in reference compatibility minhash
     compat: str = "fixed"
 
+    @property
+    def counter(self) -> str:
+        return self.tokenizer or ("openai" if self.compat == "reference" else "approximate")
+
+    @property
+    def likeness(self) -> str:
+        return self.similarity or ("minhash" if self.compat == "reference" else "jaccard")
+
     def check(self) -> Options:
         b = self.budget
-        if b.tokens is None and b.share is None and b.model is None and b.column is None:
+        if b.tokens is None and b.share is None and b.model is None and b.column is None and b.model_column is None:
             raise ArgumentError("a budget or a model is needed")
         if self.aggressive and self.conservative:
             raise ArgumentError("aggressive and conservative exclude each other")
-        if b.reserve > 0 and not b.model:
+        if b.reserve > 0 and not b.model and not b.model_column:
             raise ArgumentError("a reserve needs a model")
         if self.mode not in ("paragraph", "sentence", "line", "semantic"):
             raise ArgumentError(f"unknown mode {self.mode}")
-        if self.compat not in ("fixed", "reference") or self.similarity not in ("jaccard", "minhash"):
+        if self.compat not in ("fixed", "reference") or self.likeness not in ("jaccard", "minhash"):
             raise ArgumentError("compat is fixed or reference, similarity is jaccard or minhash")
         self.thresholds.check()
         return self
 
 
+def default_config_path() -> Path | None:
+    """Where the user's configuration is looked for: ``$XDG_CONFIG_HOME`` or ``~/.config``; None without a home."""
+    base = os.environ.get("XDG_CONFIG_HOME") or (os.path.join(os.environ["HOME"], ".config") if os.environ.get("HOME") else None)
+    return Path(base) / "textmill" / "config.toml" if base else None
+
+
 def load(path: str | None, options: Options | None = None) -> Options:
     """Options from a TOML file over ``options``. A path that is given must exist, but in reference compatibility."""
     options = options or Options()

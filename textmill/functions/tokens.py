@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,8 @@ def word_char(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(count).cast("bigint")
 
 
+#: Fixed value: how byte-pair vocabularies of this kind split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encodings: dict = {}
 
 
@@ -46,6 +49,16 @@ def _encoding(rank_file: str | None, pattern: str | None):
     return _encodings[key]
 
 
+@lru_cache(maxsize=1)
+def bpe_at_hand() -> bool:
+    """Whether the library's own vocabulary can be had here: it is fetched once, which needs a network."""
+    try:
+        _encoding(None, None)
+        return True
+    except Exception:  # whatever the library or the network raises
+        return False
+
+
 def bpe(text: Column, rank_file: str | None = None, pattern: str | None = None) -> Column:
     """Length of the byte-pair encoding. ``rank_file`` and ``pattern`` name a vocabulary; the library's needs a network once."""
 
@@ -66,7 +79,10 @@ def register_tokenizer(name: str, counter: Callable[[Column], Column]) -> None:
     _counters[name] = counter
 
 
-def counter(name: str) -> Callable[[Column], Column]:
+def counter(name: str, vocabulary: str | None = None, pattern: str | None = None) -> Callable[[Column], Column]:
+    """The counter of that name; a vocabulary (rank file, and the pattern that splits before it) is for byte-pair counts."""
     if name not in _counters:
         raise ValueError(f"unknown tokenizer {name}; known: {', '.join(sorted(_counters))}")
+    if vocabulary and _counters[name] is bpe:
+        return lambda text: bpe(text, vocabulary, pattern or PATTERN)
     return _counters[name]

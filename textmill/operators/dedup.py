@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmill.functions.text import word_list
+from textmill.storage import keep
 
 SKETCH, SEED = 128, 42
 
@@ -127,9 +128,9 @@ def _components(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ctx_id": part["ctx_id"].iloc[0], "rep": list(parent), "component": [root(x) for x in parent]})
 
 
-def clusters(segments: DataFrame, threshold: float, similarity: str = "jaccard") -> DataFrame:
+def clusters(segments: DataFrame, threshold: float, similarity: str = "jaccard", paths: list[str] | None = None) -> DataFrame:
     """``ctx_id, seg_idx, rep, component``: the class of each segment, and its cluster closed under links (its smallest segment)."""
-    sets = shingle_sets(segments)
+    sets = keep(shingle_sets(segments), "shingle-sets", paths)  # looked at several times
     pairs = (jaccard_pairs if similarity == "jaccard" else minhash_pairs)(sets, threshold)
     linked = pairs.select("ctx_id", "i", "j").groupBy("ctx_id").applyInPandas(_components, "ctx_id bigint, rep int, component int")
     rows = sets.select("ctx_id", "seg_idx", "rep").join(linked, ["ctx_id", "rep"], "left")
@@ -141,3 +142,12 @@ def representatives(clustered: DataFrame, score: str) -> DataFrame:
     w = W.partitionBy("ctx_id", "component")
     best = F.max(F.struct(F.col(score), -F.col("seg_idx"))).over(w)
     return clustered.withColumn("__best", best).withColumn("rep_idx", (-F.col("__best.col2")).cast("int")).drop("__best")
+
+
+def redundancy(segments: DataFrame) -> DataFrame:
+    """``ctx_id, redundant, redundant_tokens, unique``: how many segments are redundant, their tokens, and the indices of the others in order."""
+    flag = F.col("is_redundant")
+    unique = F.array_sort(F.collect_list(F.when(~flag, F.col("seg_idx"))))
+    return segments.groupBy("ctx_id").agg(
+        F.sum(flag.cast("bigint")).alias("redundant"), F.sum(F.when(flag, F.col("tokens")).otherwise(0)).cast("bigint").alias("redundant_tokens"), unique.alias("unique"),
+    )

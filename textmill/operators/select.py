@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +14,23 @@ DECIMALS = 9
 
 
 def first_fit(items: Column, room: Column) -> Column:
-    """Indices taken from a sorted array of ``(rank, seg_idx, tokens)``: each that still fits, in that order."""
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("taken"))
+    """Indices taken from a sorted array of ``(rank, seg_idx, tokens)``: each that still fits, in that order. One pass over a context's
+    numbers, outside the JVM, as a fold there copies what it has taken at every step."""
 
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["tokens"] <= room
-        return F.struct(F.when(fits, a["used"] + x["tokens"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["taken"], F.array(x["seg_idx"]))).otherwise(a["taken"]).alias("taken"))
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for indices, tokens, rooms in batches:
+            out = []
+            for at, n, left in zip(indices, tokens, rooms, strict=True):
+                taken = []
+                for i, t in zip(at.tolist(), n.tolist(), strict=True):
+                    if t <= left:
+                        left -= t
+                        taken.append(i)
+                out.append(taken)
+            yield pd.Series(out)
 
-    return F.aggregate(items, start, step, lambda a: a["taken"])
+    return run(F.transform(items, lambda x: x["seg_idx"]), F.transform(items, lambda x: x["tokens"]), room)
 
 
 def _item(score: str) -> Column:
@@ -64,3 +76,9 @@ def with_ends(segments: DataFrame, head: int, tail: int, keep_preserved: bool =
         F.array_sort(F.collect_list(F.when(open_, _item(score)))).alias("items"),
     )
     return _rows(per, F.concat("fixed", first_fit(F.col("items"), F.greatest(F.lit(0), F.col("budget") - F.col("used")))))
+
+
+def verify(segments: DataFrame) -> DataFrame:
+    """``ctx_id, used, budget, within``: whether the selected segments keep to the budget; needs ``selected`` and ``budget`` columns."""
+    used = F.coalesce(F.sum(F.when(F.col("selected"), F.col("tokens"))), F.lit(0)).cast("bigint")
+    return segments.groupBy("ctx_id", "budget").agg(used.alias("used")).select("ctx_id", "used", "budget", (F.col("used") <= F.col("budget")).alias("within"))

@@ -1,34 +1,55 @@
 """The whole compression as one plan over many contexts.
 
-``contexts`` has ``ctx_id`` and ``text``. Every step works within a context, so the input is dealt by ``ctx_id`` once and
-windows, joins and aggregations after it keep that partitioning. Contexts that fit their budget leave before terms, pairs
-and selection are worked out.
+``contexts`` has ``ctx_id`` (of any type) and ``text``. Contexts, segments and analysed segments are written to the shared folder
+once each, and everything that is returned is read from these tables; so a text is segmented once, whatever is asked for.
+Contexts that fit their budget leave before terms, pairs and selection are worked out. Inside, a row's own number stands for its
+id: null ids are ids like any other, and rows that share one are compressed each by itself.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import warnings
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmill.config import ConfigError, Options, available, model_budget
+from textmill import progress as progress_
+from textmill.config import MODELS, ConfigError, Options, available, model_budget
 from textmill.functions.rules import boilerplate_score, check_patterns
 from textmill.functions.text import utrim
-from textmill.functions.tokens import counter
+from textmill.functions.tokens import bpe_at_hand, counter
 from textmill.operators import coherence, dedup, score, select, stats, terms
 from textmill.operators.segment import reassemble, segment
+from textmill.storage import delete, keep
 
 
 @dataclass(frozen=True)
 class Compressed:
-    """``results``: ctx_id, output, status; ``stats``; ``warnings``; ``segments``: analysed segments of compressed contexts with ``selected``."""
+    """``results``: ctx_id, output, status; ``stats``; ``warnings``; ``segments``: analysed segments of compressed contexts with ``selected``.
+
+    All four are read from tables in the shared folder, which :meth:`release` deletes.
+    """
 
     results: DataFrame
     stats: DataFrame
     warnings: DataFrame
     segments: DataFrame
+    paths: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        delete(self.results.sparkSession, self.paths)
+
+
+def count_of(options: Options) -> Callable[[Column], Column]:
+    """How tokens are counted. Reference compatibility counts byte pairs unless told otherwise; where no vocabulary can be had, words, with a warning."""
+    name = options.counter
+    if options.tokenizer is None and name == "openai" and not options.vocabulary and not bpe_at_hand():
+        warnings.warn("no vocabulary for byte-pair counts; counting words instead (name a vocabulary file)", stacklevel=2)
+        name = "approximate"
+    return counter(name, options.vocabulary, options.vocabulary_pattern)
 
 
 def budget_column(text: Column, options: Options) -> Column:
@@ -41,19 +62,23 @@ def budget_column(text: Column, options: Options) -> Column:
             raise ConfigError("budget is zero")
         return F.lit(b.tokens).cast("bigint")
     if b.share is not None:
-        return F.ceil(counter(options.tokenizer)(text) * F.lit(float(b.share))).cast("bigint")
+        return F.ceil(count_of(options)(text) * F.lit(float(b.share))).cast("bigint")
+    if b.model_column is not None:
+        # unknown models, and reserves that leave nothing, give a budget error for their rows
+        window = F.coalesce(*[F.when(F.lower(b.model_column) == m, F.lit(w)) for m, w in MODELS.items()], F.lit(0))
+        return F.greatest(F.lit(0), window - b.reserve).cast("bigint")
     return F.lit(model_budget(b.model, b.reserve)).cast("bigint")
 
 
 def cut(contexts: DataFrame, options: Options) -> DataFrame:
     """Segments with ``tokens``, ``n`` (segments of the context) and ``total`` (their tokens); columns of the contexts but the text are kept."""
     rows = segment(contexts, options.mode, options.preserve_code, options.compat)
-    rows = rows.withColumn("tokens", counter(options.tokenizer)(F.col("text")))
+    rows = rows.withColumn("tokens", count_of(options)(F.col("text")))
     w = W.partitionBy("ctx_id")
     return rows.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("tokens").over(w))
 
 
-def analyze(segments: DataFrame, options: Options) -> DataFrame:
+def analyze(segments: DataFrame, options: Options, paths: list[str] | None = None) -> DataFrame:
     """Adds scores and flags to the segments of :func:`cut`."""
     t = options.thresholds
     scored = segments.join(terms.tfidf(segments), ["ctx_id", "seg_idx"], "left").withColumn("tfidf_score", F.coalesce("tfidf_score", F.lit(0.0)))
@@ -64,7 +89,7 @@ def analyze(segments: DataFrame, options: Options) -> DataFrame:
     scored = scored.withColumn("is_boilerplate", flagged if options.boilerplate or reference else F.lit(False)).withColumn("is_preserved", F.col("is_code_block"))
     scored = scored.withColumn("importance0", F.col("tfidf_score") * score.position_factor(F.col("seg_idx"), F.col("n"), t.decay))
     if options.redundancy or reference:
-        groups = dedup.clusters(segments, t.similarity, options.similarity)
+        groups = dedup.clusters(segments, t.similarity, options.likeness, paths)
         scored = scored.join(groups.select("ctx_id", "seg_idx", "component"), ["ctx_id", "seg_idx"])
         scored = dedup.representatives(scored, "importance0").withColumn("is_redundant", F.col("rep_idx") != F.col("seg_idx"))
         if reference:
@@ -91,24 +116,36 @@ def choose(analyzed: DataFrame, options: Options) -> DataFrame:
     return select.fit(analyzed)
 
 
-def compress(contexts: DataFrame, options: Options) -> Compressed:
-    """Compresses every context. Nothing is computed before one of the frames is used.
+def compress(contexts: DataFrame, options: Options, progress: Callable[[str], None] = progress_.quiet) -> Compressed:
+    """Compresses every context. The analysis runs at once, the frames are computed when they are used.
 
     ``status`` says what became of a context: ``empty_input`` (blank; no output), ``no_segments`` and ``pass_through`` (the
-    text as it was), ``budget_error`` (a budget of 0 or less than head and tail; no output) or ``compressed``.
+    text as it was), ``budget_error`` (a budget of 0 or less than head and tail; no output) or ``compressed``. A budget column that
+    is null counts as 0.
     """
     options.check()
     check_patterns(contexts.sparkSession, options.boilerplate_patterns + options.preserve_patterns)
     if options.budget.tokens:
         available(options.budget.tokens, options.head, options.tail)
-    count = counter(options.tokenizer)
+    count, paths = count_of(options), []
     base = contexts.withColumn("text", F.coalesce("text", F.lit("")))
-    base = base.withColumn("budget", budget_column(F.col("text"), options)).select("ctx_id", "text", "budget").repartition("ctx_id")
-    pieces = cut(base, options)
+    base = base.withColumn("budget", F.coalesce(budget_column(F.col("text"), options), F.lit(0))).select(F.monotonically_increasing_id().alias("row"), "ctx_id", "text", "budget")
+    base = keep(base, "contexts", paths)  # from here on the numbers stay as they are
+    names = base.select("row", F.col("ctx_id").alias("name"))
+    named = lambda df: df.join(names, df["ctx_id"] == names["row"]).select(F.col("name").alias("ctx_id"), *[c for c in df.columns if c != "ctx_id"])
+    base = base.select(F.col("row").alias("ctx_id"), "text", "budget")
+    progress("segmenting")
+    pieces = keep(cut(base.repartition("ctx_id"), options), "segments", paths)
     over = pieces.where((F.col("total") > F.col("budget")) & (F.col("budget") > 0) & (F.col("budget") >= options.head + options.tail))
-    analyzed = analyze(over, options)
+    progress("analyzing redundancy")
+    analyzed = analyze(over, options, paths)
+    progress("analyzing importance")
+    analyzed = keep(analyzed, "analyzed", paths)
+    progress("compressing")
     chosen = choose(analyzed, options).withColumn("__in", F.lit(True))
     marked = analyzed.join(chosen, ["ctx_id", "seg_idx"], "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in")
+    marked = keep(marked, "marked", paths)
+    progress("reassembling")
 
     switched = lambda on, flag: F.sum(F.when(F.col(flag), F.col("tokens")).otherwise(0)) if on else F.lit(0)
     kept = F.when(F.col("selected"), F.col("tokens")).otherwise(0)
@@ -139,7 +176,8 @@ def compress(contexts: DataFrame, options: Options) -> Compressed:
     output = F.when(F.col("status").isin("pass_through", "no_segments"), F.col("text")).when(F.col("status") == "compressed", F.coalesce("output", F.lit("")))
     results = results.select("ctx_id", output.alias("output"), "status")
     seen = marked.where("selected") if options.compat == "fixed" else marked.where("not is_redundant and not is_boilerplate")
-    return Compressed(results, per, coherence.warnings(seen.select("ctx_id", "seg_idx", "text")), marked)
+    told = coherence.warnings(seen.select("ctx_id", "seg_idx", "text"))
+    return Compressed(named(results), named(per), named(told), named(marked), paths)
 
 
 def plain(options: Options, **changes) -> Options:

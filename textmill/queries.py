@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from textmill.config import MODELS, Budget, Options, Thresholds
 from textmill.functions.rules import AGAIN, BOILERPLATE, CODE_REFERENCE, DANGLING_REFERENCE, INCOMPLETE_LIST, ORPHANED_PRONOUN
 from textmill.functions.rules import boilerplate_score as boilerplate
 from textmill.functions.tokens import bpe, counter
-from textmill.operators import dedup, score, stats, terms
+from textmill.operators import dedup, score, select, stats, terms
 from textmill.operators.segment import segment
 from textmill.plans import pipeline
 from textmill.sources.contexts import from_conversations, from_table
+from textmill.storage import keep
 
 HALF = Options(budget=Budget(share=0.5), mode="line")
 USER_RULE = r"(?i)^(licensed|released) under"
@@ -45,13 +48,27 @@ def _markdown(spark, sf: str) -> DataFrame:
 
 def _cut(spark, sf: str, options: Options = HALF) -> DataFrame:
     base = _docs(spark, sf).withColumn("budget", pipeline.budget_column(F.col("text"), options))
-    return pipeline.cut(base.repartition("ctx_id"), options)
+    return keep(pipeline.cut(base.repartition("ctx_id"), options), "segments")
 
 
 def _analyzed(spark, sf: str, options: Options = HALF) -> DataFrame:
     return pipeline.analyze(_cut(spark, sf, options), options)
 
 
+#: Starts of lines that make :func:`_dressed` reach every rule; a line gets that of its place, counted over and over.
+DRESS = (
+    "## ", "Copyright (c) ", "MIT License ", "DO NOT EDIT ", "as mentioned above, ", "1. ", "the above code shows ", "=" * 24 + "\n", "Note: is it so? ", "import ", "All rights reserved by ",
+    "permission is hereby granted for use of the software ", "THE SOFTWARE IS PROVIDED ", "They ", "- ", "def ", "", "",
+)
+DRESSED = Options(budget=Budget(tokens=150), mode="line")
+
+
+def _dressed(spark, sf: str) -> DataFrame:
+    """Documents whose lines begin with license lines, marks of generated text, references, list items, headings and so on."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, DRESS)), i % len(DRESS) + 1), x))
+    return _docs(spark, sf).withColumn("text", F.array_join(lines, "\n"))
+
+
 def _r(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -117,6 +134,11 @@ def boilerplate_flag(spark, sf):
     return rows.groupBy("ctx_id").agg(F.sum(F.col("b").cast("bigint")).alias("flagged"), F.count("*").alias("segments")).where("flagged > 0")
 
 
+def boilerplate_dressed(spark, sf):
+    rows = segment(_dressed(spark, sf).repartition("ctx_id"), "line")
+    return rows.select("ctx_id", "seg_idx", F.col("heading_level").cast("int").alias("heading_level"), boilerplate(F.col("text")).alias("boilerplate_score"), (boilerplate(F.col("text")) >= 0.9).alias("flagged"))
+
+
 def shingles(spark, sf):
     rows = _lines(spark, sf).select("ctx_id", "seg_idx", dedup.shingles(F.col("text")).alias("s"))
     return rows.select("ctx_id", "seg_idx", F.size("s").alias("n_shingles"), F.size(F.array_distinct("s")).alias("n_distinct"), F.array_join("s", "|").alias("shingles"))
@@ -128,7 +150,7 @@ def dup_classes(spark, sf):
 
 def _pairs(join, threshold):
     def run(spark, sf):
-        return join(dedup.shingle_sets(_lines(spark, sf)), threshold).select("ctx_id", "i", "j", _r(F.col("similarity"), "similarity"))
+        return join(keep(dedup.shingle_sets(_lines(spark, sf)), "shingle-sets"), threshold).select("ctx_id", "i", "j", _r(F.col("similarity"), "similarity"))
 
     return run
 
@@ -173,6 +195,23 @@ def _segments(contexts, **options):
     return lambda spark, sf: segment(contexts(spark, sf), **options).select("ctx_id", "seg_idx", "text", "start", "end", "is_code_block", F.col("heading_level").cast("int").alias("heading_level"))
 
 
+def _dressed_result(part):
+    return lambda spark, sf: part(pipeline.compress(_dressed(spark, sf), DRESSED))
+
+
+def _importance_dressed(spark, sf):
+    done = pipeline.compress(_dressed(spark, sf), DRESSED).segments
+    return done.select("ctx_id", "seg_idx", "tokens", "is_boilerplate", "is_redundant", _r(F.col("importance_score"), "importance_score"), "selected")
+
+
+def _by_model(spark, sf):
+    """Each document's budget by the model that its language is dealt to, an unknown one included."""
+    names = [*MODELS, "unknown-model"]
+    docs = _docs(spark, sf).withColumn("model", F.element_at(F.array(*map(F.lit, names)), (F.col("ctx_id") % len(names)).cast("int") + 1))
+    budget = pipeline.budget_column(F.col("text"), Options(budget=Budget(model_column="model", reserve=8000)))
+    return docs.select("ctx_id", "model", budget.alias("budget"))
+
+
 FIT = Options(budget=Budget(share=0.5), mode="line", extractive=False)
 ENDS = Options(budget=Budget(tokens=400), mode="line", head=60, tail=40)
 
@@ -213,6 +252,14 @@ QUERIES = {
     "seg_semantic_reference": _segments(_markdown, mode="semantic", compat="reference"),
     "seg_code": _segments(_markdown, mode="paragraph", preserve_code=True),
     "seg_sentence": _segments(_docs, mode="sentence"),
+    "boilerplate_dressed": boilerplate_dressed,
+    "importance_dressed": _importance_dressed,
+    "compressed_dressed": _dressed_result(lambda c: c.results),
+    "stats_dressed": _dressed_result(lambda c: c.stats.withColumn("compression_ratio", F.round("compression_ratio", 6))),
+    "warnings_dressed": _dressed_result(lambda c: c.warnings),
+    "budget_verified": _dressed_result(lambda c: select.verify(c.segments)),
+    "redundancy": _compressed(lambda c, *_: dedup.redundancy(c.segments).withColumn("unique", F.array_join("unique", ","))),
+    "budget_model_column": _by_model,
 }
 
 
@@ -324,7 +371,11 @@ chosen AS (SELECT ctx_id, seg_idx FROM fold WHERE taken)"""
 
 _HALF = f"ceil({_approx('text')} * 0.5::DOUBLE)::BIGINT"
 _EXTRACTIVE = _fold("importance_score > 0.3::DOUBLE AND budget > 0", "importance_score", "budget")
-_DONE = f"""WITH RECURSIVE {_analysis(_HALF)}, {_fold("importance_score > 0.3::DOUBLE AND budget > 0 AND total > budget", "importance_score", "budget")},
+
+
+def _done(budget: str) -> str:
+    """Everything up to ``outcome`` and ``stats`` of a compression under ``budget``."""
+    return f"""WITH RECURSIVE {_analysis(budget)}, {_fold("importance_score > 0.3::DOUBLE AND budget > 0 AND total > budget", "importance_score", "budget")},
 final AS (SELECT m.*, c.seg_idx IS NOT NULL AS selected FROM marked m LEFT JOIN chosen c ON m.ctx_id = c.ctx_id AND m.seg_idx = c.seg_idx WHERE total > budget),
 told AS (SELECT ctx_id, sum(CASE WHEN selected THEN tokens ELSE 0 END)::BIGINT AS c, count(*) FILTER (selected) AS k, sum(CASE WHEN is_redundant THEN tokens ELSE 0 END)::BIGINT AS r,
   sum(CASE WHEN is_boilerplate THEN tokens ELSE 0 END)::BIGINT AS b, string_agg(text, chr(10) || chr(10) ORDER BY seg_idx) FILTER (selected) AS o FROM final GROUP BY 1),
@@ -335,6 +386,9 @@ counts AS (SELECT ctx_id, lang, source, CASE WHEN n IS NULL THEN CASE WHEN statu
   CASE WHEN status = 'compressed' THEN r ELSE 0 END::BIGINT AS redundancy_removed, CASE WHEN status = 'compressed' THEN b ELSE 0 END::BIGINT AS boilerplate_removed,
   CASE WHEN status = 'compressed' THEN k ELSE coalesce(n, 0) END::BIGINT AS segments_kept, coalesce(n, 0)::BIGINT AS segments_total, status FROM outcome),
 stats AS (SELECT *, CASE WHEN status = 'compressed' THEN greatest(0, greatest(0, greatest(0, original_tokens - redundancy_removed) - boilerplate_removed) - compressed_tokens) ELSE 0 END::BIGINT AS extractive_removed FROM counts)"""
+
+
+_DONE, _DONE_DRESSED = _done(_HALF), _done("150::BIGINT")
 _DERIVED = "greatest(0, original_tokens - compressed_tokens)::BIGINT AS tokens_saved, round(CASE WHEN original_tokens = 0 THEN 1 ELSE compressed_tokens::DOUBLE / original_tokens::DOUBLE END, 6) AS compression_ratio"
 _COUNTS = ", ".join(stats.COUNTS)
 
@@ -344,6 +398,87 @@ told_kinds AS (SELECT ctx_id, seg_idx, text, unnest(list_filter([CASE WHEN regex
   FROM gaps WHERE seg_idx > coalesce(before + 1, 0)),
 cut_to AS (SELECT *, list_max(list_filter(range(0, 51), lambda k: strlen(left(text, k::BIGINT)) <= 50)) AS k FROM told_kinds)"""
 
+_MD = r"""
+parts AS (SELECT doc_id AS ctx_id, string_split(text, chr(10)) AS l FROM documents),
+md AS (SELECT ctx_id, '# ' || l[1] || chr(10) || chr(10) || array_to_string(l[2:], chr(10) || chr(10)) || chr(10) || '```text' || chr(10) || l[-1] || chr(10) || '```' || chr(10) || '## End' || chr(10) || 'last words here' || chr(10) AS text FROM parts)"""
+
+
+def _semantic_sql(source: str, compat: str) -> str:
+    """The rules of semantic mode as a machine that reads a line a step: ``state`` after the line, ``own`` (new, same, span, none) for the line."""
+    return rf"""WITH RECURSIVE {source},
+raw AS (SELECT ctx_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM md),
+lines AS (SELECT ctx_id, k, regexp_replace(r, '\r$', '') AS line, regexp_replace(r, '^\s+|\s+$', '', 'g') AS t, strlen(r) + 1 AS width,
+  coalesce(sum(strlen(r) + 1) OVER (PARTITION BY ctx_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM raw WHERE k < n OR r <> ''),
+kinds AS (SELECT *, CASE WHEN starts_with(t, '```') THEN 'fence' WHEN regexp_matches(t, '^#{{1,6}} ') THEN 'head' WHEN t = '' THEN 'blank' ELSE 'text' END AS kind FROM lines),
+walk AS (SELECT ctx_id, 0 AS k, 'top' AS state, 'none' AS own FROM md UNION ALL
+  SELECT w.ctx_id, x.k::INTEGER, CASE WHEN w.state = 'skip' THEN 'top' WHEN w.state = 'fence' THEN CASE WHEN kind = 'fence' THEN 'top' ELSE 'fence' END WHEN kind = 'fence' THEN 'fence' WHEN kind = 'head' THEN 'section'
+    WHEN w.state = 'section' THEN 'section' WHEN kind = 'text' THEN 'para' WHEN w.state = 'para' THEN 'top' ELSE '{"top" if compat == "fixed" else "skip"}' END,
+  CASE WHEN w.state = 'skip' THEN 'none' WHEN w.state = 'fence' THEN 'same' WHEN kind IN ('fence', 'head') THEN 'new' WHEN w.state = 'section' THEN 'same'
+    WHEN kind = 'text' THEN CASE WHEN w.state = 'para' THEN 'same' ELSE 'new' END WHEN w.state = 'para' THEN 'span' ELSE 'none' END
+  FROM walk w JOIN kinds x ON w.ctx_id = x.ctx_id AND x.k = w.k + 1),
+owned AS (SELECT x.*, w.own, sum(CASE WHEN w.own = 'new' THEN 1 ELSE 0 END) OVER (PARTITION BY x.ctx_id ORDER BY x.k) AS seg FROM kinds x JOIN walk w ON x.ctx_id = w.ctx_id AND x.k = w.k),
+built AS (SELECT ctx_id, seg, string_agg(line || chr(10), '' ORDER BY k) FILTER (own IN ('new', 'same')) AS body, min(off) AS "start", max(off + width)::BIGINT AS "end", max(CASE WHEN own = 'new' THEN kind END) = 'fence' AS is_code_block,
+  max(CASE WHEN own = 'new' AND kind = 'head' THEN length(regexp_extract(t, '^(#+) ', 1)) ELSE 0 END)::INTEGER AS heading_level FROM owned WHERE own <> 'none' GROUP BY 1, 2),
+clean AS (SELECT *, regexp_replace(CASE WHEN is_code_block THEN body ELSE regexp_replace(body, '^\s+', '') END, '\s+$', '') AS text FROM built)
+SELECT ctx_id, (row_number() OVER (PARTITION BY ctx_id ORDER BY "start") - 1)::INTEGER AS seg_idx, text, "start", "end", is_code_block, heading_level FROM clean WHERE strlen(CASE WHEN is_code_block THEN body ELSE text END) >= 10"""
+
+
+_PARAGRAPHS = r"""
+placed AS (SELECT ctx_id, n, base, pos, r, regexp_replace(r, '^\s+|\s+$', '', 'g') AS text, base + coalesce(sum(strlen(r) + 2) OVER (PARTITION BY ctx_id, n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM (SELECT ctx_id, n, base, unnest(string_split(t, chr(10) || chr(10))) AS r, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS pos FROM between_blocks)),
+paras AS (SELECT ctx_id, text, (off + strlen(regexp_extract(r, '^\s*')))::BIGINT AS "start", false AS is_code_block, length(regexp_extract(string_split(text, chr(10))[1], '^(#{1,6}) ', 1))::INTEGER AS heading_level FROM placed WHERE strlen(text) >= 10)"""
+_BLOCK = r"'(?s)^(.*?)(```[^\n]*\n.*?\n```\n?)(.*)$'"
+_CODE = rf"""WITH RECURSIVE {_MD},
+peeled AS (SELECT ctx_id, 0 AS n, 0::BIGINT AS base, '' AS t, '' AS block, text AS rest FROM md UNION ALL
+  SELECT ctx_id, n + 1, base + strlen(t) + strlen(block), regexp_extract(rest, {_BLOCK}, 1), regexp_extract(rest, {_BLOCK}, 2), regexp_extract(rest, {_BLOCK}, 3) FROM peeled WHERE regexp_matches(rest, {_BLOCK})),
+between_blocks AS (SELECT ctx_id, n, base, t FROM peeled UNION ALL SELECT ctx_id, n + 1, base + strlen(t) + strlen(block), rest FROM peeled QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY n DESC) = 1), {_PARAGRAPHS},
+both_kinds AS (SELECT ctx_id, text, "start", ("start" + strlen(text))::BIGINT AS "end", is_code_block, heading_level FROM paras
+  UNION ALL SELECT ctx_id, block, base + strlen(t), base + strlen(t) + strlen(block), true, 0 FROM peeled WHERE strlen(block) >= 10)
+SELECT ctx_id, (row_number() OVER (PARTITION BY ctx_id ORDER BY "start") - 1)::INTEGER AS seg_idx, text, "start", "end", is_code_block, heading_level FROM both_kinds"""
+
+_LARGE = r"""WITH RECURSIVE long AS (SELECT doc_id AS ctx_id, regexp_replace(regexp_replace(concat_ws(' ', text, text, text), '\n+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t,
+  strlen(regexp_extract(regexp_replace(concat_ws(' ', text, text, text), '\n+', ' ', 'g'), '^\s*')) AS led FROM documents),
+words AS (SELECT ctx_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS k FROM long WHERE strlen(t) > 10000),
+ends AS (SELECT ctx_id, k, w, sum(strlen(w) + 1) OVER (PARTITION BY ctx_id ORDER BY k) AS b FROM words),
+stops AS (SELECT e.ctx_id, b, ends_with(w, '.') AS dot, coalesce(min(CASE WHEN w <> '' THEN b - strlen(w) - 1 END) OVER (PARTITION BY e.ctx_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), b) AS nxt FROM ends e),
+cuts AS (SELECT ctx_id, 0 AS i, 0::BIGINT AS pos, 0::BIGINT AS place, NULL::BIGINT AS b FROM long WHERE strlen(t) > 10000
+  UNION ALL SELECT c.ctx_id, c.i + 1, s.nxt::BIGINT, c.place + (s.b - c.pos)::BIGINT, s.b::BIGINT FROM cuts c JOIN long l ON c.ctx_id = l.ctx_id JOIN stops s ON s.ctx_id = c.ctx_id AND s.b > c.pos AND s.b <= c.pos + 10000
+  WHERE strlen(l.t) - c.pos > 10000 QUALIFY row_number() OVER (PARTITION BY c.ctx_id ORDER BY s.dot DESC, s.b DESC) = 1),
+pieces AS (SELECT a.ctx_id, a.i, a.pos, a.place, coalesce(b.b, strlen(l.t)) AS b, b.b IS NULL AS last FROM cuts a JOIN long l ON a.ctx_id = l.ctx_id LEFT JOIN cuts b ON a.ctx_id = b.ctx_id AND b.i = a.i + 1),
+texts AS (SELECT p.ctx_id, p.i, p.place, p.b - p.pos AS n, last, (SELECT string_agg(e.w, ' ' ORDER BY e.k) FROM ends e WHERE e.ctx_id = p.ctx_id AND e.b > p.pos AND e.b <= p.b + CASE WHEN last THEN 1 ELSE 0 END) || CASE WHEN last THEN '' ELSE ' ' END AS text FROM pieces p),
+all_segments AS (SELECT ctx_id, i, text, place + led AS "start", place + led + n AS "end", last FROM texts JOIN long USING (ctx_id) UNION ALL SELECT ctx_id, 0, t, led, led + strlen(t), true FROM long WHERE strlen(t) <= 10000)
+SELECT ctx_id, (row_number() OVER (PARTITION BY ctx_id ORDER BY i) - 1)::INTEGER AS seg_idx, text, "start"::BIGINT AS "start", "end"::BIGINT AS "end", false AS is_code_block, 0::INTEGER AS heading_level FROM all_segments WHERE NOT last OR strlen(text) >= 10"""
+
+_SENTENCE = r"""WITH marked AS (SELECT doc_id AS ctx_id, regexp_replace(text, '([.!?]+["'')”»]*[ \t]*\n?|\n)', '\1' || chr(1), 'g') AS t FROM documents),
+raw AS (SELECT ctx_id, unnest(string_split(t, chr(1))) AS r, generate_subscripts(string_split(t, chr(1)), 1) AS k FROM marked),
+beside AS (SELECT *, lag(r) OVER (PARTITION BY ctx_id ORDER BY k) AS before FROM raw WHERE r <> ''),
+joined AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND NOT ends_with(before, chr(10)) AND (regexp_matches(r, '^[,;:-]') OR regexp_matches(before, '\.["'')”»]*[ \t]*$') AND (regexp_matches(r, '^[^\p{L}\n.!?]*\p{Ll}')
+  OR ends_with(before, '.') AND regexp_matches(r, '^[\p{N}\p{Lu}]'))) THEN 0 ELSE 1 END) OVER (PARTITION BY ctx_id ORDER BY k) AS s FROM beside),
+whole AS (SELECT ctx_id, s, string_agg(r, '' ORDER BY k) AS r FROM joined GROUP BY 1, 2),
+placed AS (SELECT ctx_id, s, regexp_replace(r, '^\s+|\s+$', '', 'g') AS text, coalesce(sum(strlen(r)) OVER (PARTITION BY ctx_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(regexp_extract(r, '^\s*')) AS place FROM whole)
+SELECT ctx_id, (row_number() OVER (PARTITION BY ctx_id ORDER BY s) - 1)::INTEGER AS seg_idx, text, place::BIGINT AS "start", (place + strlen(text))::BIGINT AS "end", false AS is_code_block, 0::INTEGER AS heading_level FROM placed WHERE strlen(text) >= 10"""
+
+
+def _dress_sql(sql: str) -> str:
+    """The same SQL on dressed documents."""
+    starts = ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in DRESS)
+    lines = f"list_transform(string_split(text, chr(10)), lambda x, i: ([{starts}])[(i - 1) % {len(DRESS)} + 1] || x)"
+    body = re.sub(r"^\s*WITH (RECURSIVE )?", "", re.sub(r"\bdocuments\b", "dressed", sql))
+    return f"WITH RECURSIVE dressed AS (SELECT doc_id, lang, source, array_to_string({lines}, chr(10)) AS text FROM documents), {body}"
+
+
+_REPORT = (
+    "printf('Compression Statistics\n======================\n\nOriginal tokens:    %8d\nCompressed tokens:  %8d\nTokens saved:       %8d\nCompression ratio:  %7.1f%%\n\nBreakdown:\n"
+    "  Redundancy removed: %6d\n  Boilerplate removed:%6d\n  Extractive removed: %6d\n\nSegments: %d/%d kept\n', original_tokens, compressed_tokens, tokens_saved, ratio * 100, redundancy_removed, boilerplate_removed, extractive_removed, segments_kept, segments_total)"
+)
+_JSON = (
+    """printf('{"original_tokens":%d,"compressed_tokens":%d,"tokens_saved":%d,"compression_ratio":%.4f,"redundancy_removed":%d,"boilerplate_removed":%d,"extractive_removed":%d,"segments_kept":%d,"segments_total":%d}', """
+    "original_tokens, compressed_tokens, tokens_saved, ratio, redundancy_removed, boilerplate_removed, extractive_removed, segments_kept, segments_total)"
+)
+_TOLD = "(SELECT *, greatest(0, original_tokens - compressed_tokens)::BIGINT AS tokens_saved, CASE WHEN original_tokens = 0 THEN 1 ELSE compressed_tokens::DOUBLE / original_tokens::DOUBLE END AS ratio FROM stats)"
+_WARNED = "SELECT ctx_id, seg_idx, kind, left(text, k::BIGINT) AS preview FROM cut_to"
+_OUTPUT = "SELECT ctx_id, CASE WHEN status IN ('pass_through', 'no_segments') THEN text WHEN status = 'compressed' THEN coalesce(o, '') END AS output, status FROM outcome"
+
 ORACLE_SQL = {
     "seg_line": f"WITH {_SEG} SELECT * FROM seg",
     "seg_paragraph_conv": r"""WITH conv AS (SELECT conv_id AS ctx_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1),
@@ -379,9 +514,25 @@ heads AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY ctx_id ORDER BY seg_
 tails AS (SELECT *, h OR coalesce(sum(CASE WHEN h THEN 0 ELSE tokens END) OVER (PARTITION BY ctx_id ORDER BY seg_idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40 AS f FROM heads),
 marked AS (SELECT *, greatest(0, budget - sum(CASE WHEN f THEN tokens ELSE 0 END) OVER (PARTITION BY ctx_id))::BIGINT AS left_over FROM tails), {_fold("NOT f AND NOT is_redundant AND NOT is_boilerplate", "importance0", "left_over")}
 SELECT * FROM chosen UNION ALL SELECT ctx_id, seg_idx FROM marked WHERE f""",
-    "compressed_output": f"{_DONE} SELECT ctx_id, CASE WHEN status IN ('pass_through', 'no_segments') THEN text WHEN status = 'compressed' THEN coalesce(o, '') END AS output, status FROM outcome",
+    "compressed_output": f"{_DONE} {_OUTPUT}",
     "stats": f"{_DONE} SELECT ctx_id, {_COUNTS}, {_DERIVED} FROM stats",
     "stats_rollup": f"{_DONE}, rolled AS (SELECT lang, source, count(*) AS contexts, {', '.join(f'sum({c})::BIGINT AS {c}' for c in stats.COUNTS)} FROM stats GROUP BY ROLLUP (lang, source)) SELECT *, {_DERIVED} FROM rolled",
-    "coherence_warnings": f"{_DONE}, {_GAPS} SELECT ctx_id, seg_idx, kind, left(text, k::BIGINT) AS preview FROM cut_to",
+    "coherence_warnings": f"{_DONE}, {_GAPS} {_WARNED}",
+    "stats_report": f"{_DONE} SELECT ctx_id, {_REPORT} AS report FROM {_TOLD}",
+    "stats_json": f"{_DONE} SELECT ctx_id, {_JSON} AS json FROM {_TOLD}",
+    "seg_large_split": _LARGE,
+    "seg_semantic": _semantic_sql(_MD, "fixed"),
+    "seg_semantic_reference": _semantic_sql(_MD, "reference"),
+    "seg_code": _CODE,
+    "seg_sentence": _SENTENCE,
+    "boilerplate_dressed": _dress_sql(f"WITH {_SEG} SELECT ctx_id, seg_idx, heading_level, {_boiler('text')} AS boilerplate_score, {_boiler('text')} >= 0.9::DOUBLE AS flagged FROM seg"),
+    "importance_dressed": _dress_sql(f"{_DONE_DRESSED} SELECT ctx_id, seg_idx, tokens, is_boilerplate, is_redundant, round(importance_score, 6) AS importance_score, selected FROM final"),
+    "compressed_dressed": _dress_sql(f"{_DONE_DRESSED} {_OUTPUT}"),
+    "stats_dressed": _dress_sql(f"{_DONE_DRESSED} SELECT ctx_id, {_COUNTS}, {_DERIVED} FROM stats"),
+    "warnings_dressed": _dress_sql(f"{_DONE_DRESSED}, {_GAPS} {_WARNED}"),
+    "budget_verified": _dress_sql(f"{_DONE_DRESSED} SELECT ctx_id, sum(CASE WHEN selected THEN tokens ELSE 0 END)::BIGINT AS used, budget, sum(CASE WHEN selected THEN tokens ELSE 0 END) <= budget AS within FROM final GROUP BY ctx_id, budget"),
+    "redundancy": f"{_DONE} SELECT ctx_id, count(*) FILTER (is_redundant) AS redundant, coalesce(sum(tokens) FILTER (is_redundant), 0)::BIGINT AS redundant_tokens, coalesce(string_agg(seg_idx::VARCHAR, ',' ORDER BY seg_idx) FILTER (NOT is_redundant), '') AS unique FROM final GROUP BY ctx_id",
+    "budget_model_column": "SELECT doc_id AS ctx_id, m AS model, (CASE m " + " ".join(f"WHEN '{m}' THEN {max(0, w - 8000)}" for m, w in MODELS.items()) + " ELSE 0 END)::BIGINT AS budget FROM (SELECT doc_id, (["
+    + ", ".join(f"'{m}'" for m in [*MODELS, "unknown-model"]) + f"])[(doc_id % {len(MODELS) + 1} + 1)::INTEGER] AS m FROM documents)",
 }
 

@@ -14,6 +14,8 @@ def compress_stream(contexts: DataFrame, options: Options, out: str, checkpoint:
     options.check()
 
     def sink(batch: DataFrame, number: int) -> None:
-        compress(batch, options).results.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done = compress(batch, options)
+        done.results.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.release()
 
     return contexts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
