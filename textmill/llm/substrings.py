@@ -10,7 +10,7 @@ underestimates, a window with a clear bit in any row occurs once, and no repeate
 The second pass groups exactly the windows estimated repeated, by a 96-bit hash of their word sequence, in buckets by
 minimiser. Of the occurrences that a task sees of a window only the earliest goes there; the others are repeats already, and
 leave as runs of starts in buckets by document. So a passage found everywhere costs a bucket one row a task, not one a
-document. Buckets find the earliest of all; runs of starts that are not the earliest go back to their documents.
+document. Buckets find the earliest of all; runs of starts that are not the earliest go back, packed by groups of documents.
 
 The sketch has about four cells for each expected place, at most ``2**MAX_CELLS_LOG2`` a row; beyond that more windows
 reach the exact pass, and the result stays the same. It is the only thing that is broadcast, at most 64 MB.
@@ -200,6 +200,35 @@ def _often(grams: np.ndarray, log2: int, bitmaps: list[np.ndarray]) -> np.ndarra
 _BUCKET = "bucket int, h64 binary, h32 binary, doc binary, pos binary, ids binary, keys binary, runs binary, n_runs binary"
 
 
+_FOUND = "bucket int, ids binary, keys binary, runs binary, n_runs binary"
+
+
+def _by_document(ids: np.ndarray, keys: np.ndarray, runs: bytes, n: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Documents and their runs, packed by a bucket of the document."""
+    bucket = (_mix(keys.view(np.uint64) ^ ids.view(np.uint64), _M) % np.uint64(buckets)).astype(np.int32)
+    each = np.frombuffer(runs, dtype="<u8")
+    start = np.cumsum(n) - n
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        rows = order[edges[b] : edges[b + 1]]
+        m = n[rows]
+        mine = each[np.repeat(start[rows] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        yield b, ids[rows].tobytes(), keys[rows].tobytes(), mine.tobytes(), m.astype("<u4").tobytes()
+
+
+def _merged(part: pd.DataFrame) -> pd.DataFrame:
+    """``doc_id, key, runs`` of each document of a bucket."""
+    raw = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in part[name]])
+    n = raw("n_runs", "<u4").astype(np.int64)
+    ids, keys, runs = np.repeat(raw("ids", np.int64), n), np.repeat(raw("keys", np.int64), n), raw("runs", "<u8")
+    order = np.lexsort((keys, ids))
+    ids, keys, runs = ids[order], keys[order], runs[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+    out = [runs[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(runs)], strict=True)]
+    return pd.DataFrame({"doc_id": pd.Series(ids[first], dtype="Int64").mask(pd.Series(ids[first] == _NONE)), "key": keys[first], "runs": pd.Series(out, dtype=object)})
+
+
 def _packed_runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
     """Distinct documents, the runs of their starts one after the other, and how many runs each has."""
     order = np.lexsort((p, d))
@@ -239,13 +268,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
             ))
         if later.any():
             who, runs, n = _packed_runs(d[later], p[later])
-            bucket = (_mix(keys[who].view(np.uint64) ^ ids[who].view(np.uint64), _M) % np.uint64(buckets)).astype(np.int32)
-            each = np.split(np.frombuffer(runs, dtype="<u8"), np.cumsum(n)[:-1])
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                rows = order[edges[b] : edges[b + 1]]
-                out.append((int(b), b"", b"", b"", b"", ids[who[rows]].tobytes(), keys[who[rows]].tobytes(), b"".join(each[k].tobytes() for k in rows), n[rows].astype("<u4").tobytes()))
+            out += [(b, b"", b"", b"", b"", i, k, r, m) for b, i, k, r, m in _by_document(ids[who], keys[who], runs, n, buckets)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in _BUCKET.split(", ")])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,10 +309,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
             yield emit(h, g, s, d, p, np.concatenate(ids), np.concatenate(keys))
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]] = []
         told = part[part["n_runs"].str.len() > 0]
-        for m in told.itertuples():
-            found.append((np.frombuffer(m.ids, dtype=np.int64), np.frombuffer(m.keys, dtype=np.int64), m.runs, np.frombuffer(m.n_runs, dtype="<u4")))
+        out = list(told[["bucket", "ids", "keys", "runs", "n_runs"]].itertuples(index=False, name=None))
         part = part[part["n_runs"].str.len() == 0]
         if len(part):
             raw = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in part[name]]
@@ -306,24 +327,18 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
             later = (ids[d] != ids[d[head]]) | (p != p[head])
             if later.any():
                 who, runs, n = _packed_runs(d[later], p[later])
-                found.append((ids[who], keys[who], runs, n))
-        out: dict[str, list] = {"doc_id": [], "key": [], "runs": []}
-        for ids, keys, runs, n in found:
-            ends = 8 * np.cumsum(n, dtype=np.int64)
-            out["doc_id"] += [None if i == _NONE else i for i in ids.tolist()]
-            out["key"] += keys.tolist()
-            out["runs"] += [runs[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "key": np.array(out["key"], dtype=np.int64), "runs": pd.Series(out["runs"], dtype=object)})
+                out += _by_document(ids[who], keys[who], runs, n, buckets)
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])
 
     rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(col(text_col)).alias("k"), col(text_col).alias("t"))
-    return rows.mapInPandas(find, _BUCKET).groupBy("bucket").applyInPandas(settle, "doc_id long, key long, runs binary")
+    return rows.mapInPandas(find, _BUCKET).groupBy("bucket").applyInPandas(settle, _FOUND).groupBy("bucket").applyInPandas(_merged, "doc_id long, key long, runs binary")
 
 
-def removed(n_words: int, runs: list[bytes] | None, window: int) -> np.ndarray:
+def removed(n_words: int, runs: bytes | None, window: int) -> np.ndarray:
     """Which words lie in windows that go."""
     change = np.zeros(n_words + 1, dtype=np.int64)
-    for r in runs if runs is not None else ():
-        pairs = np.frombuffer(r, dtype="<u4").reshape(-1, 2).astype(np.int64)
+    if runs is not None:
+        pairs = np.frombuffer(runs, dtype="<u4").reshape(-1, 2).astype(np.int64)
         np.add.at(change, pairs[:, 0], 1)
         np.add.at(change, pairs[:, 0] + pairs[:, 1] - 1 + window, -1)
     return np.cumsum(change[:-1]) > 0
@@ -331,7 +346,7 @@ def removed(n_words: int, runs: list[bytes] | None, window: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row; ``kept`` is the words that stay, joined by one space."""
-    found = repeats(docs, id_col, text_col, window, gram).groupBy("doc_id", "key").agg(F.collect_list("runs").alias("runs"))
+    found = repeats(docs, id_col, text_col, window, gram)
     rows = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(col(text_col)).alias("k"), col(text_col).alias("t"))
     joined = rows.join(found, rows["i"].eqNullSafe(found["doc_id"]) & (rows["k"] == found["key"]), "left")
 
