@@ -6,13 +6,12 @@ until the filter says no: it never says too little, and too much by ``r`` levels
 error rate to the power ``r``. The model is a bigram model with Dirichlet smoothing,
 ``p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu)``, all counts from such probes.
 
-One pass over the texts makes chunks of them. A chunk's distinct words and pairs, with counts, go to buckets by hash (packed,
-not a row for each word; a frequent word costs one entry a chunk, in every bucket and at every size). There is a bucket for
-every ``BUCKET_BYTES`` of text. A bucket adds up, builds its part of the filter, and answers with the exact counts of each
-chunk's words; answers and the chunk's tokens (places in its list of words) meet by chunk, where documents are scored. So
-exact unigram counts need no broadcast, and texts are split once. The filter, ``BITS`` bits an entry, grows with the corpus
-and holds every n-gram. Up to ``max_bits`` it is broadcast; beyond that it stays in its parts, each chunk's distinct words and
-pairs are sent to the buckets that hold them, and the levels found there meet by chunk. Both ways give the same scores.
+One pass over the texts sends each chunk's distinct words and pairs, with counts, to buckets by hash (packed, not a row for
+each word; a frequent word costs one entry a chunk, in every bucket and at every size). There is a bucket for every
+``BUCKET_BYTES`` of text. A bucket adds up, and keeps the exact counts of its words and its part of the filter. The filter,
+``BITS`` bits an entry, grows with the corpus and holds every n-gram. Up to ``max_bits`` filter and counts are broadcast; beyond
+that they stay in their parts, each chunk's distinct words and pairs are sent to the buckets that hold them, and the levels
+and counts found there meet by chunk. Both ways give the same scores.
 
 Edge cases: a null or empty text is the end token alone; without training rows all counts are zero; an empty table gives
 an empty table; rows with equal ids are scored each by itself; a null id hashes as the empty string; other columns are ignored.
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from textmill.llm.common import col, materialize
 
 BITS, PROBES, MAX_BITS, MU = 6, 4, 1 << 30, 200.0
-_CHUNK_WORDS, BUCKET_BYTES = 800_000, 16 << 20
+_CHUNK_WORDS, BUCKET_BYTES = 1_000_000, 16 << 20
 _BLOCK = 1 << 27
 _M, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = xxhash.xxh3_64_intdigest(b"\n")  # a line feed is in no word
@@ -173,7 +172,7 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 _ROW = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary"
 _COLUMNS = ["bucket", "kind", "chunk", "a", "b", "c", "d"]
 _SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-_WORDS, _PAIRS, _META, _STATS = 0, 1, 2, 3
+_WORDS, _PAIRS, _META, _PART = 0, 1, 2, 3
 
 
 def _ids_bytes(ids: list) -> bytes:
@@ -199,46 +198,42 @@ def _dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 def _send(buckets: int, hold_out: int, folds: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        chunk = TaskContext.get().partitionId() << 32
         for ids, w, sizes in _docs(batches):
             train = np.repeat(np.array([remainder(i, folds) != hold_out for i in ids]), sizes)
-            u, inv = np.unique(w, return_inverse=True)
-            counts = np.bincount(inv[train], minlength=len(u))
-            out = [(b, _WORDS, chunk, _sorted_bytes(u[at]), _z(counts[at], "<u4"), None, None) for b, at in _dealt(u, buckets)]
-            two, n_two = np.unique(pairs(w, _firsts(sizes))[train], return_counts=True)
-            out += [(b, _PAIRS, chunk, _sorted_bytes(two[at]), _z(n_two[at], "<u4"), None, None) for b, at in _dealt(two, buckets)]
-            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), sizes.astype("<i8").tobytes(), _sorted_bytes(u), _z(inv, "<u4")))
+            out = []
+            for kind, x in ((_WORDS, w), (_PAIRS, pairs(w, _firsts(sizes)))):
+                h, n = np.unique(x[train], return_counts=True)
+                out += [(b, kind, 0, _sorted_bytes(h[at]), _z(n[at], "<u4"), None, None) for b, at in _dealt(h, buckets)]
             yield pd.DataFrame(out, columns=_COLUMNS)
-            chunk += 1
 
     return send
 
 
-def _settle(part: pd.DataFrame) -> pd.DataFrame:
-    """Adds up a bucket: answers to its words by chunk, statistics and the bucket's part of the filter; the rest passes through."""
-    b = int(part["bucket"].iloc[0])
-    out = [tuple(m) for m in part[part["kind"] == _META].itertuples(index=False)]
-    words = part[part["kind"] == _WORDS]
-    have = [_sorted_from(x) for x in words["a"]]
-    u, inv = np.unique(np.concatenate([*have, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-    counts = np.bincount(inv, weights=np.concatenate([*(_unz(x, "<u4") for x in words["b"]), np.zeros(0)]), minlength=len(u))
-    lo = 0
-    for chunk, h in zip(words["chunk"].tolist(), have, strict=True):
-        out.append((b, _WORDS, chunk, _z(counts[inv[lo : lo + len(h)]], "<u8"), None, None, None))
-        lo += len(h)
-    two = part[part["kind"] == _PAIRS]
-    h = np.concatenate([*(_sorted_from(x) for x in two["a"]), np.zeros(0, dtype=np.uint64)])
-    n2 = np.concatenate([*(_unz(x, "<u4") for x in two["b"]), np.zeros(0, dtype="<u4")])
+def _added(part: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a kind, sorted, and their counts."""
+    mine = part[part["kind"] == kind]
+    h = np.concatenate([*(_sorted_from(x) for x in mine["a"]), np.zeros(0, dtype=np.uint64)])
+    n = np.concatenate([*(_unz(x, "<u4") for x in mine["b"]), np.zeros(0, dtype="<u4")])
     order = np.argsort(h, kind="stable")
-    h, n2 = h[order], n2[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-    h, n2 = h[first], np.add.reduceat(n2, first) if len(first) else n2
-    seen = counts > 0
-    stats = np.array([counts.sum(), seen.sum(), len(h)], dtype="<i8")
-    out.append((b, _STATS, 0, stats.tobytes(), segment(np.concatenate([_mix(u[seen]), h]), np.concatenate([counts[seen], n2])), None, None))
-    return pd.DataFrame(out, columns=_COLUMNS)
+    h, n = h[order], n[order].astype(np.int64)
+    if not len(h):
+        return h, n
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first)
+
+
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    """Adds up a bucket: statistics and part of the filter, words and their counts."""
+    (u, n), (two, n_two) = _added(part, _WORDS), _added(part, _PAIRS)
+    stats = np.array([n.sum(), len(u)], dtype="<i8")
+    filtered = segment(np.concatenate([_mix(u), two]), np.concatenate([n, n_two]))
+    return pd.DataFrame([(int(part["bucket"].iloc[0]), _PART, 0, stats.tobytes(), filtered, _sorted_bytes(u), _z(n, "<u8"))], columns=_COLUMNS)
+
+
+def _counted(h: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exact counts of ``h``, 0 for those not among the sorted ``known``."""
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    return np.where(known[at] == h, n[at], 0).astype(np.int64) if len(known) else np.zeros(len(h), dtype=np.int64)
 
 
 def _sums(one: np.ndarray, inv: np.ndarray, two: np.ndarray, sizes: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
@@ -259,74 +254,82 @@ def _of_kind(part: pd.DataFrame, kind: int, column: str, of: str) -> np.ndarray:
     return np.concatenate([_unz(x, of) for x in part[part["kind"] == kind].sort_values("bucket")[column]])
 
 
-def _scores(meta, counts: np.ndarray, score: np.ndarray, inv: np.ndarray, sizes: np.ndarray, n: int, v: int) -> pd.DataFrame:
+def _scores(ids: pd.Series, counts: np.ndarray, score: np.ndarray, inv: np.ndarray, sizes: np.ndarray, n: int, v: int) -> pd.DataFrame:
     each, firsts = counts[inv], _firsts(sizes)
-    base = np.add.reduceat(np.log10(each + 0.5), firsts) - sizes * np.log10(n + 0.5 * (v + 1))
-    return pd.DataFrame({"doc_id": _ids_from(meta["a"], len(sizes)), "n_tokens": sizes, "n_known": np.add.reduceat((each > 0).astype(np.int64), firsts), "base_score": base, "score": score})
+    base = np.add.reduceat(np.log10(counts + 0.5)[inv], firsts) - sizes * np.log10(n + 0.5 * (v + 1))
+    return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": np.add.reduceat((each > 0).astype(np.int64), firsts), "base_score": base, "score": score})
 
 
-def _by_broadcast(got: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
-    # at most max_bits / 8 bytes
-    known = {r["bucket"]: bytes(r["b"]) for r in parts.select("bucket", "b").collect()}
-    held = [known.pop(b, bytes(8)) for b in range(buckets)]
-    shared = got.sparkSession.sparkContext.broadcast((np.array([len(p) for p in held], dtype=np.int64), b"".join(held)))
+def _by_broadcast(rows: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
+    # at most max_bits / 8 bytes; hashes are dealt in order, so buckets in order give them sorted
+    known = {r["bucket"]: (bytes(r["b"]), bytes(r["c"]), bytes(r["d"])) for r in parts.select("bucket", "b", "c", "d").collect()}
+    none = (bytes(8), _sorted_bytes(np.zeros(0, dtype=np.uint64)), _z(np.zeros(0), "<u8"))
+    held = [known.pop(b, none) for b in range(buckets)]
+    sizes = np.array([len(p[0]) for p in held], dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((sizes, b"".join(p[0] for p in held), [p[1:] for p in held]))
     del held
 
-    def model(part: pd.DataFrame) -> pd.DataFrame:
-        meta = part[part["kind"] == _META].iloc[0]
-        f = Filter(shared.value)
-        sizes, u, inv = np.frombuffer(meta["b"], dtype="<i8"), _sorted_from(meta["c"]), _unz(meta["d"], "<u4")
-        two, at = np.unique(pairs(u[inv], _firsts(sizes)), return_inverse=True)
-        score = _sums(f.level(_mix(u), u), inv, f.level(two)[at], sizes, n, v, mu)
-        return _scores(meta, _of_kind(part, _WORDS, "a", "<u8").astype(float), score, inv, sizes, n, v)
+    def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = None
+        for ids, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
+            if f is None:
+                f = Filter(shared.value[:2])
+                words = np.concatenate([_sorted_from(p[0]) for p in shared.value[2]])
+                counts = np.concatenate([_unz(p[1], "<u8") for p in shared.value[2]])
+            u, inv = np.unique(w, return_inverse=True)
+            score = _sums(f.level(_mix(u), u), inv, f.level(pairs(w, _firsts(sizes))), sizes, n, v, mu)
+            yield _scores(pd.Series(ids).astype("Int64"), _counted(u, words, counts), score, inv, sizes, n, v)
 
-    return got.where(F.col("kind").isin(_META, _WORDS)).groupBy("chunk").applyInPandas(model, _SCORED)
+    return rows.mapInPandas(model, _SCORED)
 
 
 def _ask(buckets: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for m in batch.itertuples(index=False):
-                u, sizes = _sorted_from(m.c), np.frombuffer(m.b, dtype="<i8")
-                two, at = np.unique(pairs(u[_unz(m.d, "<u4")], _firsts(sizes)), return_inverse=True)
-                out = [(b, kind, m.chunk, _sorted_bytes(h[s]), None, None, None) for kind, h in ((_WORDS, u), (_PAIRS, two)) for b, s in _dealt(h, buckets)]
-                yield pd.DataFrame([*out, (m.bucket, _META, m.chunk, m.a, m.b, _z(at, "<u4"), m.d)], columns=_COLUMNS)
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for ids, w, sizes in _docs(batches, _CHUNK_WORDS // 2):
+            u, inv = np.unique(w, return_inverse=True)
+            two, at = np.unique(pairs(w, _firsts(sizes)), return_inverse=True)
+            out = [(b, kind, chunk, _sorted_bytes(h[s]), None, None, None) for kind, h in ((_WORDS, u), (_PAIRS, two)) for b, s in _dealt(h, buckets)]
+            out.append((int(chunk % buckets), _META, chunk, _ids_bytes(ids), sizes.astype("<i8").tobytes(), _z(inv, "<u4"), _z(at, "<u4")))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+            chunk += 1
 
     return ask
 
 
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Levels in place of hashes; a bucket's part of the filter comes before its questions, and one is held at a time."""
-    at, f = -1, None
+    """Levels and counts in place of hashes; a bucket's part comes before its questions, and one is held at a time."""
+    at, f, words, counts = -1, None, np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u8")
     for batch in batches:
         out = []
         for m in batch.itertuples(index=False):
-            if m.kind == _STATS:
-                at, f = m.bucket, Filter([m.a])
+            if m.kind == _PART:
+                at, f, words, counts = m.bucket, Filter([m.b]), _sorted_from(m.c), _unz(m.d, "<u8")
             elif m.kind == _META:
                 out.append(tuple(m))
             else:
                 h = _sorted_from(m.a)
-                got = f.level(_mix(h) if m.kind == _WORDS else h) if m.bucket == at else np.zeros(len(h))
-                out.append((m.bucket, m.kind, m.chunk, None, _z(got, "u1"), None, None))
+                mine = m.bucket == at  # a bucket without a part has no trained n-gram
+                level = f.level(_mix(h) if m.kind == _WORDS else h) if mine else np.zeros(len(h))
+                exact = _z(_counted(h, words, counts) if mine else np.zeros(len(h)), "<u8") if m.kind == _WORDS else None
+                out.append((m.bucket, m.kind, m.chunk, _z(level, "u1"), exact, None, None))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def _by_parts(got: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
-    none = F.lit(None).cast("binary")
-    asked = got.where(F.col("kind") == _META).mapInPandas(_ask(buckets), _ROW)
-    held = parts.select("bucket", "kind", "chunk", F.col("b").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
-    dealt = asked.unionByName(held).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))  # _STATS is the highest kind
-    counts = got.where(F.col("kind") == _WORDS).withColumn("kind", F.lit(_STATS))
+def _by_parts(rows: DataFrame, parts: DataFrame, buckets: int, n: int, v: int, mu: float) -> DataFrame:
+    asked = rows.mapInPandas(_ask(buckets), _ROW).unionByName(parts)
+    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))  # _PART is the highest kind
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         meta = part[part["kind"] == _META].iloc[0]
-        sizes, inv = np.frombuffer(meta["b"], dtype="<i8"), _unz(meta["d"], "<u4")
-        one, two = (_of_kind(part, kind, "b", "u1").astype(np.int64) for kind in (_WORDS, _PAIRS))
-        score = _sums(one, inv, two[_unz(meta["c"], "<u4")], sizes, n, v, mu)
-        return _scores(meta, _of_kind(part, _STATS, "a", "<u8").astype(float), score, inv, sizes, n, v)
+        sizes, inv = np.frombuffer(meta["b"], dtype="<i8"), _unz(meta["c"], "<u4")
+        one, two = (_of_kind(part, kind, "a", "u1").astype(np.int64) for kind in (_WORDS, _PAIRS))
+        score = _sums(one, inv, two[_unz(meta["d"], "<u4")], sizes, n, v, mu)
+        return _scores(_ids_from(meta["a"], len(sizes)), _of_kind(part, _WORDS, "b", "<u8").astype(np.int64), score, inv, sizes, n, v)
 
-    return dealt.mapInPandas(_answer, _ROW).unionByName(counts).groupBy("chunk").applyInPandas(meet, _SCORED)
+    return dealt.mapInPandas(_answer, _ROW).groupBy("chunk").applyInPandas(meet, _SCORED)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 1, folds: int = 5, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
@@ -336,12 +339,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     got = rows.mapInPandas(_send(buckets, hold_out, folds), _ROW).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle, _ROW)
-    got = materialize(got, "lm")
-    parts = got.where(F.col("kind") == _STATS)
-    # three numbers and a size a bucket
-    stats = [(np.frombuffer(r["a"], dtype="<i8"), r["size"]) for r in parts.select("a", F.length("b").cast("long").alias("size")).collect()]
+    parts = materialize(got, "lm")
+    # two numbers and a size a bucket
+    stats = [(np.frombuffer(r["a"], dtype="<i8"), r["size"]) for r in parts.select("a", (F.length("b") + F.length("c") + F.length("d")).cast("long").alias("size")).collect()]
     n, v = (int(sum(p[0][j] for p in stats)) for j in (0, 1))
-    mine = (_by_broadcast if sum(p[1] for p in stats) * 8 <= max_bits else _by_parts)(got, parts, buckets, n, v, mu)
+    mine = (_by_broadcast if sum(p[1] for p in stats) * 8 <= max_bits else _by_parts)(rows, parts, buckets, n, v, mu)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == hold_out
     return mine.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
