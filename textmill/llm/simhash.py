@@ -31,6 +31,10 @@ from textmill.llm.common import col, components, fresh, materialize, words_of
 
 DIRECT = 1 << 14
 SKETCH = 128
+#: Equal places of sketches: pairs with as many as the first are similar but for a chance below one in ten thousand, those with
+#: fewer than the last are not but for one in two hundred; between them sets of shingles decide. At a similarity of 0.8.
+SURE, LEAST = 120, 90
+_LEVELS = (SURE, 112, 107, 103, 98, 94, LEAST)
 _BLOCK = 128
 _A = np.random.default_rng(42).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(43).integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -229,11 +233,26 @@ def similar_forest(prints: np.ndarray, sketches: np.ndarray, radius: int, least:
     return out
 
 
-def similar_links(reps: DataFrame, prints: int, radius: int, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` between ``whole`` hashes: in one of the fingerprints within ``radius``, sketches similar."""
-    # by chance a byte agrees once in 256
-    least = int(np.ceil(SKETCH * (similarity + (1 - similarity) / 256) - 1e-9))
-    edge = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+def best_forest(prints: np.ndarray, sketches: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """``(i, j, equal places)``: like :func:`similar_forest`, but whatever number of places is asked for, its links connect what links of
+    that many places connect; so links that fail a later test leave the better ones standing."""
+    low = similar_forest(prints, sketches, radius, LEAST)
+    if not low:
+        return []
+    label, out = np.arange(len(prints)), []
+    for level in _LEVELS:
+        for i, j in low if level == LEAST else similar_forest(prints, sketches, radius, level):
+            if label[i] != label[j]:
+                out.append((i, j, int((sketches[i] == sketches[j]).sum())))
+                label[label == label[j]] = label[i]
+        if len(out) == len(low):
+            break
+    return out
+
+
+def similar_links(reps: DataFrame, prints: int, radius: int) -> DataFrame:
+    """Edges ``(a, b, same)`` between ``whole`` hashes: in one of the fingerprints within ``radius``, ``same`` places of the sketches equal."""
+    edge = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("same", T.IntegerType())]))
 
     @F.pandas_udf(edge)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -241,7 +260,7 @@ def similar_links(reps: DataFrame, prints: int, radius: int, similarity: float)
             out = []
             for f, w, s in zip(fps, wholes, sketches, strict=True):
                 f, s = np.asarray(f, dtype=np.int64).view(np.uint64), np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1)
-                out.append([(int(w[i]), int(w[j])) for i, j in similar_forest(f, s, radius, least)])
+                out.append([(int(w[i]), int(w[j]), n) for i, j, n in best_forest(f, s, radius)])
             yield pd.Series(out)
 
     edges = None
@@ -262,32 +281,68 @@ def similar_links(reps: DataFrame, prints: int, radius: int, similarity: float)
             members = members.unionByName(large.select("key", "whole", F.explode(ways).alias("s")).select("key", "s.u", "s.sub", "whole"))
         full = members.join(reps.select("whole", F.element_at("prints", k + 1).alias("fp"), "sketch"), "whole")
         grouped = full.groupBy("key", "u", "sub").agg(F.collect_list(F.struct("fp", "whole", "sketch")).alias("l")).where(F.size("l") > 1)
-        got = grouped.select(F.explode(run.asNondeterministic()(F.col("l.fp"), F.col("l.whole"), F.col("l.sketch"))).alias("e")).select("e.a", "e.b").distinct()
+        got = grouped.select(F.explode(run.asNondeterministic()(F.col("l.fp"), F.col("l.whole"), F.col("l.sketch"))).alias("e"))
+        got = got.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), "e.same").distinct()
         got = materialize(got, "similar")
         edges = got if edges is None else edges.unionByName(got)
-    return edges
+    return materialize(edges.distinct(), "similar-all")
+
+
+def _sets_udf(size: int):
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes([w.lower() for w in words_of(t)], size)).tobytes() for t in texts], dtype=object)
+
+    return run.asNondeterministic()
+
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(x, y, strict=True):
+        a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both / max(1, len(a) + len(b) - both))
+    return pd.Series(out, dtype=float)
+
+
+def decided(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The edges whose texts (``whole, text``) have sets of ``size``-word shingles as similar as asked for."""
+    open_ = edges.where(F.col("same") < SURE)
+    ends = open_.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+    sets = texts.join(ends, "whole", "left_semi").groupBy("whole").agg(F.first("text").alias("text"))
+    sets = materialize(sets.select("whole", _sets_udf(size)("text").alias("shingles")), "near-sets")
+    both = open_.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
+    good = both.where(_jaccard("x", "y") >= similarity).select("a", "b")
+    return edges.where(F.col("same") >= SURE).select("a", "b").unionByName(good)
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 10, radius: int = 3,
 ) -> DataFrame:
     """One row of ``docs`` for each group of near copies: that with the smallest id.
 
     Texts with the same words are one group; others are linked if one of ``prints`` fingerprints of their words differs in
-    at most ``radius`` bits and their sets of ``size``-word shingles are similar by their sketches. Groups are closed
-    under links.
+    at most ``radius`` bits and their sets of ``size``-word shingles are similar: plainly so by their sketches, or, where those
+    are not plain, by the sets themselves. Groups are closed under links. The bounds ``SURE`` and ``LEAST`` are for a
+    similarity of 0.8; others are refused.
     """
-    f = fresh(docs, "near")
+    if similarity != 0.8:
+        raise ValueError("the sketches' bounds are for a similarity of 0.8")
+    i, w, x = (fresh(docs, f"near{k}") for k in "iwx")
     flat = docs.select(col(id_col).alias("id"), _profile_udf(size, prints)(col(text_col)).alias("p")).select("id", "p.*")
     reps = flat.groupBy("whole").agg(F.min("id").alias("id"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "near-reps")
-    labels = components(similar_links(reps, prints, radius, similarity))
+    texts = docs.select(whole_of(col(text_col)).alias("whole"), col(text_col).alias("text"))
+    labels = components(decided(similar_links(reps, prints, radius), texts, size, similarity))
     named = reps.select("whole", "id").join(labels, reps["whole"] == labels["node"], "left").select("whole", "id", F.coalesce("component", "whole").alias("component"))
     best = named.groupBy("component").agg(F.min(F.struct("id", "whole")).alias("b"))
-    kept = materialize(best.select(F.col("b.id").alias(f + "i"), F.col("b.whole").alias(f + "w")), "near-kept")
-    rows = docs.withColumn(f + "x", whole_of(col(text_col)))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept[f + "i"]) & (rows[f + "x"] == kept[f + "w"]), "left_semi")
-    return rows.dropDuplicates([id_col, f + "x"]).select(*[col(c) for c in docs.columns])
+    kept = materialize(best.select(F.col("b.id").alias(i), F.col("b.whole").alias(w)), "near-kept")
+    rows = docs.withColumn(x, whole_of(col(text_col)))
+    rows = rows.join(kept, col(id_col).eqNullSafe(col(i)) & (col(x) == col(w)), "left_semi")
+    # of identical rows one stays
+    return rows.dropDuplicates([id_col, x]).select(*[col(c) for c in docs.columns])
 
 
 def whole_of(text: Column) -> Column:
