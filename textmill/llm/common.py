@@ -2,58 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill import storage
+from textmill.storage import delete, shared_dir, shared_path
 
-_own = ""
+__all__ = ["col", "components", "delete", "fresh", "materialize", "shared_dir", "shared_path", "words_of", "written"]
+_mine = threading.local()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _own
-    _own = _own or "file://" + tempfile.mkdtemp(prefix="textmill-")
-    return _own
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/textmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-_written: list[str] = []
+def written() -> list[str]:
+    """Paths of the tables that this thread has written and not yet deleted, in order."""
+    if not hasattr(_mine, "paths"):
+        _mine.paths = []
+    return _mine.paths
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends, and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def written() -> list[str]:
-    """Paths of the tables written so far, in order."""
-    return list(_written)
-
-
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that nothing will read again."""
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if p in _written:
-            _written.remove(p)
+    return storage.keep(df, name, written())
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -172,14 +172,14 @@ def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
-    f = fresh(docs, "quality")
+    f, v, p = (fresh(docs, f"quality{k}") for k in ("", "votes", "good"))
     kept_cols = [col(c) for c in docs.columns]
     measured = materialize(docs.withColumn(f, _measure_udf()(col(text_col))), "quality-rows")
     probs = posteriors(measured.select(f"{f}.votes"))
-    probs = F.broadcast(probs.select(F.col("votes").alias(f + "v"), F.col("p_good").alias(f + "p")))
+    probs = F.broadcast(probs.select(F.col("votes").alias(v), F.col("p_good").alias(p)))
     failed = (F.col(f"{f}.n_words") < 20) | (100 * F.col(f"{f}.n_repeat_words") > 30 * F.col(f"{f}.n_words"))
-    good = measured.join(probs, F.col(f"{f}.votes") == F.col(f + "v"), "left")
-    return good.where(~failed & (F.col(f + "p") >= threshold)).select(*kept_cols)
+    good = measured.join(probs, F.col(f"{f}.votes") == F.col(v), "left")
+    return good.where(~failed & (F.col(p) >= threshold)).select(*kept_cols)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
             yield pd.Series([t if t is None or not len(s) else mask(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     hit = F.size(F.col(f"`{f}`.spans")) > 0
-    g = f + "text"
+    g = fresh(docs, "masked")
     rows = scanned.where(~hit).withColumn(g, col(text_col)).unionByName(scanned.where(hit).withColumn(g, masked.asNondeterministic()(col(text_col), F.col(f"`{f}`.spans"))))
     change = {text_col: F.col(g)}
     if count_col in docs.columns:

@@ -10,7 +10,7 @@ A document's place in the whole is its partition's base, the prefix sum of the p
 Files are written under another name and renamed when complete, so a task that runs again leaves the same files.
 
 Edge cases: a null text is empty and has the end id only; an empty table writes no files and gives an empty table;
-repeated ids keep all their rows, next to each other; a null id comes first and is read back as null.
+repeated ids keep all their rows, next to each other in an order that their texts decide; a null id comes first and is read back as null.
 """
 
 from __future__ import annotations
@@ -243,7 +243,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
             index.done()
             yield pd.DataFrame({"part": [part], "n_tokens": [at]})
 
-    rows = docs.select(col(id_col).alias("i"), col(text_col).alias("t")).repartitionByRange("i").sortWithinPartitions("i")
+    # many rows with one id are dealt by their texts
+    rows = docs.select(col(id_col).alias("i"), col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("i", "h").sortWithinPartitions("i", "h", "t").select("i", "t")
     parts = sorted(tuple(r) for r in rows.mapInPandas(write, "part int, n_tokens long").collect())  # a row for each partition
     bases = np.cumsum([0] + [n for _, n in parts])
     return [(p, int(b)) for (p, _), b in zip(parts, bases, strict=False)], kind
