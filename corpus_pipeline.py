@@ -1,11 +1,12 @@
 """A corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing. Part of the subpackage ``llm``.
 
 A stage's result is written and read again before the next stage begins; so the first thing that a stage does is to delete
-the scratch tables of the stage before it.
+the scratch tables that the stage before it, in the same thread, has left.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,21 +16,29 @@ from textmill.llm import decontaminate, packing, quality_rules, secrets, simhash
 from textmill.llm.common import delete, materialize, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_scratch: list[str] = []
+_left = threading.local()
 
 
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _scratch)
+        _clean(spark)
         before = set(written())
         out = f(spark, docs, sf_dir)
-        _scratch[:] = [p for p in written() if p not in before]
+        _left.paths = [p for p in written() if p not in before]
         return out
 
     return run_stage
 
 
+def _clean(spark: SparkSession) -> None:
+    paths = getattr(_left, "paths", [])
+    for p in paths:
+        if p in written():
+            written().remove(p)
+    delete(spark, paths)
+
+
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -69,7 +78,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit),
 ]
 
-#: Simhash, learned quality and bin completion are beyond SQL; tests hold the stages against plain versions.
+#: Simhash, learned quality and bin completion are beyond SQL; tests hold the stages against plain versions: exact similarity of all
+#: pairs for near copies, exact windows for leaks, gapless packing.
 ORACLE_SQL = None
 
 
@@ -78,4 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    _clean(spark)
     return docs
