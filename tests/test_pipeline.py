@@ -166,3 +166,77 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "e.txt").write_text(" \n")
     with pytest.raises(ValueError):
         read_one(str(tmp_path / "e.txt"))
+
+
+def test_null_and_repeated_ids_and_ids_of_any_type(spark):
+    other = LONG.replace("topic", "matter")
+    rows = [(None, LONG), ("a", LONG), ("a", other), (None, other), ("b", "fits well within")]
+    df = spark.createDataFrame(rows, "ctx_id string, text string")
+    done = compress(df, Options(budget=Budget(tokens=60)))
+    got = sorted((str(r.ctx_id), r.output) for r in done.results.collect())
+    alone = {t: compress(from_text(spark, t), Options(budget=Budget(tokens=60))).results.first().output for t in (LONG, other)}
+    assert got == sorted([("None", alone[LONG]), ("a", alone[LONG]), ("a", alone[other]), ("None", alone[other]), ("b", "fits well within")])
+    s = [(str(r.ctx_id), r.segments_total) for r in done.stats.collect()]
+    assert sorted(s) == sorted([("None", 12), ("a", 12), ("a", 12), ("None", 12), ("b", 1)])
+    done.release()
+    assert done.paths == []
+
+
+def test_a_context_of_a_hundred_thousand_segments(spark):
+    text = "\n".join(f"line {i} of word{i * 7919 % 5003} and word{i * 31 % 4001}" for i in range(100_000))
+    done = compress(from_text(spark, text), Options(budget=Budget(tokens=50_000), mode="line", redundancy=False))
+    s = done.stats.first()
+    assert s.segments_total == 100_000 and 45_000 < s.compressed_tokens <= 50_000
+    done.release()
+
+
+def test_verification_and_redundancy(spark):
+    parts = LONG.split("\n\n")
+    parts[11] = parts[5]
+    done = compress(from_text(spark, "\n\n".join(parts)), Options(budget=Budget(tokens=80)))
+    v, r = select.verify(done.segments).first(), dedup.redundancy(done.segments).first()
+    assert v.within and v.used == done.stats.first().compressed_tokens and v.budget == 80
+    assert r.redundant == 1 and r.unique == [i for i in range(12) if i not in {5, 11} - {*r.unique}] and len(r.unique) == 11
+    over = done.segments.withColumn("selected", F.lit(True))
+    assert not select.verify(over).first().within
+
+
+def test_reference_mode_counts_byte_pairs_and_compares_sketches(spark):
+    public = pytest.importorskip("public_tokenizers")
+    o = Options(budget=Budget(tokens=200), compat="reference", vocabulary=public.path("byte_bpe_50k.tiktoken"))
+    assert o.counter == "openai" and o.likeness == "minhash" and Options().counter == "approximate" and Options().likeness == "jaccard"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = sum(len(tok.encode(p, add_special_tokens=False).ids) for p in LONG.split("\n\n"))
+    assert compress(from_text(spark, LONG), o).stats.first().original_tokens == want
+
+
+def test_budget_by_model_column(spark):
+    df = spark.createDataFrame([(1, LONG, "gpt-4"), (2, LONG, "GPT-4o"), (3, LONG, "none"), (4, LONG, None)], "ctx_id bigint, text string, m string")
+    got = {r.ctx_id: r.status for r in compress(df, Options(budget=Budget(model_column="m", reserve=8100))).results.collect()}
+    assert got == {1: "compressed", 2: "pass_through", 3: "budget_error", 4: "budget_error"}
+
+
+def test_usual_configuration_path_and_progress(monkeypatch, tmp_path):
+    from textmill import progress
+    from textmill.cli import options_from, parser
+    from textmill.config import default_config_path
+
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
+    assert default_config_path() == tmp_path / "textmill" / "config.toml"
+    (tmp_path / "textmill").mkdir()
+    (tmp_path / "textmill" / "config.toml").write_text("[thresholds]\nimportance_minimum = 0.5\n")
+    assert options_from(parser().parse_args(["--budget", "10"])).thresholds.importance_min == 0.5
+    monkeypatch.delenv("XDG_CONFIG_HOME")
+    monkeypatch.delenv("HOME", raising=False)
+    assert default_config_path() is None
+
+    class Terminal(list):
+        isatty, write = (lambda self: True), list.append
+
+    out = Terminal()
+    show = progress.on_terminal(50_000, out)
+    for stage in progress.STAGES:
+        show(stage)
+    assert len(out) == 5 and "90% (reassembling)" in out[-1] and progress.on_terminal(49_999, out) is progress.quiet

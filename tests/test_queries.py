@@ -43,3 +43,24 @@ def test_markdown_keeps_every_line(spark, tmp_path):
     got = {r.ctx_id: r.text for r in queries._markdown(spark, str(tmp_path)).collect()}
     assert got[1] == "# line 0\n\n" + "\n\n".join(lines[1:]) + "\n```text\nline 1499\n```\n## End\nlast words here\n"
     assert got[2] == "# one line\n\n\n```text\none line\n```\n## End\nlast words here\n" and got[3].startswith("# \n\n")
+
+
+@needs_data
+def test_byte_pairs_against_another_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = {(r.ctx_id, r.seg_idx): r.text for r in queries._lines(spark, SF).collect()}
+    got = {(r.ctx_id, r.seg_idx): r.tokens for r in queries.tokens_bpe(spark, SF).collect()}
+    assert got == {k: len(tok.encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
+
+
+@needs_data
+def test_dressed_documents_reach_every_rule(spark):
+    kinds = {r.kind for r in queries.QUERIES["warnings_dressed"](spark, SF).select("kind").distinct().collect()}
+    assert len(kinds) == 4
+    states = {r.status for r in queries.QUERIES["compressed_dressed"](spark, SF).select("status").distinct().collect()}
+    assert {"compressed", "pass_through"} <= states
+    scores = {r.boilerplate_score for r in queries.boilerplate_dressed(spark, SF).select("boilerplate_score").distinct().collect()}
+    assert {0.0, 0.75, 0.85, 0.9, 0.95} <= scores

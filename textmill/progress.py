@@ -16,7 +16,7 @@ def quiet(stage: str) -> None:
 
 def on_terminal(tokens: int, out=None) -> Callable[[str], None]:
     """Shows stages on ``out`` (standard error) if it is a terminal and the input is large."""
-    out = out or sys.stderr
+    out = sys.stderr if out is None else out
     if tokens < LARGE or not out.isatty():
         return quiet
     return lambda stage: out.write(f"\rProcessing: {STAGES[stage]:3d}% ({stage})" + ("\n" if stage == "reassembling" else ""))
