@@ -26,6 +26,7 @@ BOILERPLATE = (
 #: Rules that count a second time with the confidence of user rules; this lifts separators over the usual threshold.
 AGAIN = ("license", "copyright", "generated", "disclaimer", "separator")
 
+#: How a segment begins, or what it holds, that points to text before it.
 ORPHANED_PRONOUN = r"(?i)^(he|she|it|they|this|that|these|those)\s"
 DANGLING_REFERENCE = r"(?i)(as (mentioned|noted|described|discussed|shown|seen) (above|earlier|previously|before))"
 INCOMPLETE_LIST = r"(?i)^(\d+\.|[-*•])\s"

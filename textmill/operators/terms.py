@@ -25,7 +25,10 @@ def raw_terms(text: Column) -> Column:
 
 
 def stem(w: Column) -> Column:
-    """The first suffix that fits with enough bytes before it goes; lengths are in bytes, and all suffixes are ASCII."""
+    """The first suffix that fits with enough bytes before it goes; lengths are in bytes, and all suffixes are ASCII.
+
+    Fixed values: suffixes, least lengths and what replaces them.
+    """
     n, chars = F.octet_length(w), F.length(w)
     without = lambda k: F.substring(w, F.lit(1), chars - k)
     ing = without(3)
