@@ -103,3 +103,9 @@ def test_options(tmp_path):
     with pytest.raises(ConfigError):
         load(str(tmp_path / "missing.toml"))
     assert load(str(tmp_path / "missing.toml"), Options(compat="reference")).thresholds == Thresholds()
+
+
+def test_fixed_decimals_round_the_exact_value(spark):
+    numbers = [a / b for b in range(1, 161) for a in range(b + 1)] + [0.00005, 0.00015, 0.99995, 12.34565, 2.5, 1e-12, 98765432.10985]
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, x double").select("i", text.fixed(F.col("x") * 100.0, 1).alias("a"), text.fixed(F.col("x"), 4).alias("b"))
+    assert [(r.a, r.b) for r in df.orderBy("i").collect()] == [(f"{x * 100:.1f}", f"{x:.4f}") for x in numbers]

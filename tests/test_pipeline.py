@@ -139,6 +139,17 @@ def test_reports(spark):
     assert stats.json(done.stats).first().json.startswith('{"original_tokens":')
 
 
+def counted(spark, *pairs):
+    """Statistics with ``(original, compressed)`` tokens and nothing else."""
+    df = spark.createDataFrame([(i, o, c, 0, 0, 0, 0, 0) for i, (o, c) in enumerate(pairs)], "ctx_id bigint, " + ", ".join(f"{c} bigint" for c in stats.COUNTS))
+    return stats.derive(df)
+
+
+def test_report_rounds_ties_of_the_ratio_to_the_even_digit(spark):
+    got = stats.report(counted(spark, (80, 13), (80, 11), (1000, 3), (0, 0))).orderBy("ctx_id").collect()
+    assert [r.report.split("Compression ratio:  ")[1].split("\n")[0] for r in got] == ["   16.2%", "   13.8%", "    0.3%", "  100.0%"]
+
+
 def test_conversations(spark):
     df = spark.createDataFrame([(1, 1, "b", "yes"), (1, 0, "a", "hi"), (2, 0, "a", None)], "conv_id bigint, turn bigint, role string, text string")
     assert {r.ctx_id: r.text for r in from_conversations(df).collect()} == {1: "a: hi\n\nb: yes", 2: "a: "}

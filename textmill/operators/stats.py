@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.text import less
+from textmill.functions.text import fixed, less
 
 COUNTS = ("original_tokens", "compressed_tokens", "redundancy_removed", "boilerplate_removed", "extractive_removed", "segments_kept", "segments_total")
 
@@ -30,10 +30,10 @@ def rollup(stats: DataFrame, *by: str) -> DataFrame:
 def report(stats: DataFrame) -> DataFrame:
     """``ctx_id, report``: the statistics as a text of fixed layout."""
     layout = (
-        "Compression Statistics\n======================\n\nOriginal tokens:    %8d\nCompressed tokens:  %8d\nTokens saved:       %8d\nCompression ratio:  %7.1f%%\n\nBreakdown:\n"
+        "Compression Statistics\n======================\n\nOriginal tokens:    %8d\nCompressed tokens:  %8d\nTokens saved:       %8d\nCompression ratio:  %7s%%\n\nBreakdown:\n"
         "  Redundancy removed: %6d\n  Boilerplate removed:%6d\n  Extractive removed: %6d\n\nSegments: %d/%d kept\n"
     )
-    cols = ("original_tokens", "compressed_tokens", "tokens_saved", F.col("compression_ratio") * 100.0, "redundancy_removed", "boilerplate_removed", "extractive_removed", "segments_kept", "segments_total")
+    cols = ("original_tokens", "compressed_tokens", "tokens_saved", fixed(F.col("compression_ratio") * 100.0, 1), "redundancy_removed", "boilerplate_removed", "extractive_removed", "segments_kept", "segments_total")
     return stats.select("ctx_id", F.format_string(layout, *cols).alias("report"))
 
 
