@@ -150,6 +150,11 @@ def test_report_rounds_ties_of_the_ratio_to_the_even_digit(spark):
     assert [r.report.split("Compression ratio:  ")[1].split("\n")[0] for r in got] == ["   16.2%", "   13.8%", "    0.3%", "  100.0%"]
 
 
+def test_json_rounds_ties_of_the_ratio_to_the_even_digit(spark):
+    got = stats.json(counted(spark, (32, 13), (160, 53), (32, 11), (0, 0))).orderBy("ctx_id").collect()
+    assert [r.json.split('"compression_ratio":')[1].split(",")[0] for r in got] == ["0.4062", "0.3312", "0.3438", "1.0000"]
+
+
 def test_conversations(spark):
     df = spark.createDataFrame([(1, 1, "b", "yes"), (1, 0, "a", "hi"), (2, 0, "a", None)], "conv_id bigint, turn bigint, role string, text string")
     assert {r.ctx_id: r.text for r in from_conversations(df).collect()} == {1: "a: hi\n\nb: yes", 2: "a: "}

@@ -40,5 +40,6 @@ def report(stats: DataFrame) -> DataFrame:
 def json(stats: DataFrame) -> DataFrame:
     """``ctx_id, json``: the statistics as one line, the ratio with four decimals."""
     names = ("original_tokens", "compressed_tokens", "tokens_saved", "compression_ratio", "redundancy_removed", "boilerplate_removed", "extractive_removed", "segments_kept", "segments_total")
-    layout = "{" + ",".join(f'"{n}":{"%.4f" if n == "compression_ratio" else "%d"}' for n in names) + "}"
-    return stats.select("ctx_id", F.format_string(layout, *names).alias("json"))
+    layout = "{" + ",".join(f'"{n}":{"%s" if n == "compression_ratio" else "%d"}' for n in names) + "}"
+    cols = (fixed(F.col(n), 4) if n == "compression_ratio" else n for n in names)
+    return stats.select("ctx_id", F.format_string(layout, *cols).alias("json"))
